@@ -13,7 +13,8 @@ MODEL_NAME = "cash_forecast"
 HORIZON_DAYS, PAYROLL_CYCLE_DAYS, HOLDOUT_DAYS = 30, 28, 28
 BAND = 0.80
 Z_BAND = 1.2815515655446004  # standard normal quantile 0.90: a two-sided 80 % band
-# Means keep eight decimals so that a month of them adds up exactly, in any order.
+# Means keep eight decimals so that a month of them adds up exactly, in any order. Sums are cast back to
+# money before they meet such a mean: next to a decimal(38,2), it would lose its decimals.
 FINE = "decimal(28,8)"
 
 
@@ -55,7 +56,7 @@ def known_outflows(scheduled: DataFrame, as_of: Column, horizon: int = HORIZON_D
     return (
         within_horizon(scheduled, as_of, horizon)
         .groupBy("company_id", stream, F.col("due_date").alias("day"))
-        .agg(F.sum("amount").alias("amount"))
+        .agg(F.sum("amount").cast(MONEY).alias("amount"))
     )
 
 
@@ -94,7 +95,7 @@ def project(
     outflow = (
         union_all([supplier.select("company_id", "day", "amount"), payroll_days(known, as_of, horizon)])
         .groupBy("company_id", "day")
-        .agg(F.sum("amount").alias("known_out"))
+        .agg(F.sum("amount").cast(MONEY).alias("known_out"))
     )
     days = forecast_days(balances.join(last_known, "company_id", "left"), as_of, horizon)
     rows = predict(profile, days).join(outflow, ["company_id", "day"], "left")
@@ -197,7 +198,7 @@ def run_rates(postings: DataFrame, supplier_out: DataFrame, as_of: Column, days:
     )
     paid = supplier_out.where(F.col("day") < as_of).groupBy("company_id").agg(F.sum("amount").alias("_out"))
     def rate(c: str) -> Column:
-        return (F.coalesce(F.col(c), F.lit(0)) / days).cast(FINE)
+        return (F.coalesce(F.col(c), F.lit(0)).cast(MONEY) / days).cast(FINE)
 
     return receipts.join(paid, "company_id", "full").select(
         "company_id", rate("_in").alias("daily_receipts"), rate("_out").alias("supplier_run_rate")
@@ -212,7 +213,8 @@ def baseline_forecast(
 
     totals (company_id, total_cash, non_reserve); next_payroll (company_id, payroll_date, payroll_amount).
     """
-    base = totals.join(rates, "company_id", "left").join(next_payroll, "company_id", "left")
+    money = {c: F.col(c).cast(MONEY) for c in ("total_cash", "non_reserve")}
+    base = totals.withColumns(money).join(rates, "company_id", "left").join(next_payroll, "company_id", "left")
     k = F.datediff(F.col("day"), as_of)
     days = forecast_days(base, as_of, horizon).join(
         supplier_out.select("company_id", "day", F.col("amount").alias("_scheduled")), ["company_id", "day"], "left"

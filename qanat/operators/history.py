@@ -100,7 +100,7 @@ def outflow_days(postings: DataFrame, scheduled: DataFrame, kind: str) -> DataFr
         "company_id", gulf_date(F.col("booked_at")).alias("day"), (-F.col("amount")).alias("amount")
     )
     known = scheduled.where(F.col("kind") == kind).select("company_id", F.col("due_date").alias("day"), "amount")
-    return union_all([past, known]).groupBy("company_id", "day").agg(F.sum("amount").alias("amount"))
+    return union_all([past, known]).groupBy("company_id", "day").agg(F.sum("amount").cast(MONEY).alias("amount"))
 
 
 def forward_sum(days: DataFrame, value: str, width: int, name: str, day: str = "as_of_date") -> DataFrame:
