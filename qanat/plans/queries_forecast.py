@@ -249,7 +249,7 @@ FROM (
       (PARTITION BY company_id ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DECIMAL(28,8)) AS bal
     FROM (
       SELECT b.company_id, d.k, d.day, b.total_cash, b.non_reserve,
-        CAST(CASE WHEN d.k < 14 THEN coalesce(s.amount, 0) ELSE coalesce(r.run_rate, 0) END AS DECIMAL(28,8)) AS out,
+        CASE WHEN d.k < 14 THEN CAST(coalesce(s.amount, 0) AS DECIMAL(28,8)) ELSE coalesce(r.run_rate, 0) END AS out,
         CAST(CASE WHEN d.day >= p.payroll_date AND (d.day - p.payroll_date) % 28 = 0 THEN p.payroll_amount ELSE 0 END
           AS DECIMAL(28,8)) AS wages,
         CAST(CASE WHEN d.k >= 7 AND isodow(d.day) <= 5 THEN coalesce(r.daily_in, 0) * 7 / 5 ELSE 0 END AS DECIMAL(28,8)) AS received
