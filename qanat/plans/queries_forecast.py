@@ -248,7 +248,7 @@ FROM (
     SELECT company_id, day, k, total_cash, CAST(non_reserve + SUM(CAST(received - out - wages AS DECIMAL(28,8))) OVER
       (PARTITION BY company_id ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DECIMAL(28,8)) AS bal
     FROM (
-      SELECT b.company_id, d.k, d.day, b.total_cash, b.non_reserve,
+      SELECT b.company_id, d.k, d.day, CAST(b.total_cash AS DECIMAL(18,2)) AS total_cash, b.non_reserve,
         CASE WHEN d.k < 14 THEN CAST(coalesce(s.amount, 0) AS DECIMAL(28,8)) ELSE coalesce(r.run_rate, 0) END AS out,
         CAST(CASE WHEN d.day >= p.payroll_date AND (d.day - p.payroll_date) % 28 = 0 THEN p.payroll_amount ELSE 0 END
           AS DECIMAL(28,8)) AS wages,
