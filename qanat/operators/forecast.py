@@ -198,7 +198,7 @@ def run_rates(postings: DataFrame, supplier_out: DataFrame, as_of: Column, days:
     )
     paid = supplier_out.where(F.col("day") < as_of).groupBy("company_id").agg(F.sum("amount").alias("_out"))
     def rate(c: str) -> Column:
-        return (F.coalesce(F.col(c), F.lit(0)).cast(MONEY) / days).cast(FINE)
+        return (F.coalesce(F.col(c), F.lit(0)).cast(FINE) / days).cast(FINE)
 
     return receipts.join(paid, "company_id", "full").select(
         "company_id", rate("_in").alias("daily_receipts"), rate("_out").alias("supplier_run_rate")

@@ -245,8 +245,9 @@ SELECT company_id, day AS forecast_date, CAST(bal AS DECIMAL(18,2)) AS predicted
 FROM (
   SELECT *, CAST(abs(bal) * CAST(0.03 AS DECIMAL(4,3)) + k * CAST(0.004 AS DECIMAL(4,3)) * total_cash AS DECIMAL(28,8)) AS band
   FROM (
-    SELECT company_id, day, k, total_cash, CAST(non_reserve + SUM(CAST(received - out - wages AS DECIMAL(28,8))) OVER
-      (PARTITION BY company_id ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DECIMAL(28,8)) AS bal
+    SELECT company_id, day, k, total_cash, CAST(CAST(non_reserve AS DECIMAL(18,2)) + CAST(SUM(CAST(received - out - wages AS DECIMAL(28,8)))
+      OVER (PARTITION BY company_id ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DECIMAL(28,8))
+      AS DECIMAL(28,8)) AS bal
     FROM (
       SELECT b.company_id, d.k, d.day, CAST(b.total_cash AS DECIMAL(18,2)) AS total_cash, b.non_reserve,
         CASE WHEN d.k < 14 THEN CAST(coalesce(s.amount, 0) AS DECIMAL(28,8)) ELSE coalesce(r.run_rate, 0) END AS out,
