@@ -13,8 +13,8 @@ MODEL_NAME = "cash_forecast"
 HORIZON_DAYS, PAYROLL_CYCLE_DAYS, HOLDOUT_DAYS = 30, 28, 28
 BAND = 0.80
 Z_BAND = 1.2815515655446004  # standard normal quantile 0.90: a two-sided 80 % band
-# Means keep eight decimals so that a month of them adds up exactly, in any order. Sums are cast back to
-# money before they meet such a mean: next to a decimal(38,2), it would lose its decimals.
+# Means keep eight decimals so that a month of them adds up exactly, in any order. Sums are cast
+# back before they meet such a mean: next to a decimal(38, x), it would lose decimals.
 FINE = "decimal(28,8)"
 
 
@@ -110,7 +110,7 @@ def project(
     summed = rows.select(
         "company_id",
         F.col("day").alias("forecast_date"),
-        (F.col("balance") + F.sum(flow.cast(FINE)).over(path)).cast(FINE).alias("_balance"),
+        (F.col("balance") + F.sum(flow.cast(FINE)).over(path).cast(FINE)).cast(FINE).alias("_balance"),
         (F.lit(Z_BAND) * F.sqrt(F.sum(variance).over(path))).cast(FINE).alias("_half"),
     )
     return summed.select(
@@ -226,7 +226,7 @@ def baseline_forecast(
     received = F.when((k >= 7) & (F.col("weekday") < 5), F.coalesce(F.col("daily_receipts"), zero) * 7 / 5).otherwise(zero)
     path = Window.partitionBy("company_id").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
     flow = (received - out - wages).cast(FINE)
-    balance = (F.col("non_reserve") + F.sum(flow).over(path)).cast(FINE)
+    balance = (F.col("non_reserve") + F.sum(flow).over(path).cast(FINE)).cast(FINE)
     run = days.select("company_id", "day", "total_cash", k.alias("_k"), balance.alias("_balance"))
     band = (
         F.abs(F.col("_balance")) * F.lit(0.03).cast("decimal(4,3)")

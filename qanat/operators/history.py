@@ -11,12 +11,13 @@ from .serving import PAYROLL_DAYS, SUPPLIER_DAYS
 from .skew import running, union_all
 
 FLOW_COLUMNS = ("other_net", "supplier_net", "payroll_net", "transfer_net")
-# Posting ids per block of a running balance, and blocks per upper-level block.
-ID_BLOCK, ID_SUPER = 250_000, 250_000_000
+# Posting ids per block of a running balance: a window holds at most this many postings, and a trillion
+# postings make a million blocks.
+ID_BLOCK = 1_000_000
 
 
-def id_blocks(column: str = "transaction_id") -> list[Column]:
-    return [F.floor(F.col(column) / F.lit(w)) for w in (ID_BLOCK, ID_SUPER)]
+def id_block(column: str = "transaction_id") -> Column:
+    return F.floor(F.col(column) / F.lit(ID_BLOCK))
 
 
 def date_spine(bounds: DataFrame, first: Column, last: Column, name: str) -> DataFrame:
@@ -41,7 +42,7 @@ def daily_flow_history(flows: DataFrame, until: Column) -> DataFrame:
 def running_balance(postings: DataFrame, opening: DataFrame | None = None) -> DataFrame:
     """balance_after of every posting: the account's opening balance plus all postings up to it, in id order."""
     done = running(
-        postings, ["account_id"], ["transaction_id"], id_blocks(), {"balance_after": F.col("amount")}, inclusive=True
+        postings, ["account_id"], ["transaction_id"], [id_block()], {"balance_after": F.col("amount")}, inclusive=True
     )
     if opening is None:
         return done.withColumn("balance_after", F.col("balance_after").cast(MONEY))

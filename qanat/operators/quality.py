@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.money import MONEY
 from .dedupe import latest_balance
-from .history import id_blocks
+from .history import id_block
 from .skew import union_all
 
 STATUSES = ("AWAITING_APPROVAL", "EXECUTED", "REJECTED")
@@ -153,7 +153,7 @@ def broken_balances(transactions: DataFrame) -> DataFrame:
     last one of the block before; an account is never one window.
     """
     rows = transactions.select("transaction_id", "account_id", "amount", "balance_after")
-    rows = rows.withColumn("_block", id_blocks()[0])
+    rows = rows.withColumn("_block", id_block())
     w = Window.partitionBy("account_id", "_block").orderBy("transaction_id")
     ends = rows.groupBy("account_id", "_block").agg(F.max_by("balance_after", "transaction_id").alias("_last"))
     by_block = Window.partitionBy("account_id").orderBy("_block")

@@ -50,7 +50,7 @@ VIEWS["projected"] = f"""
 SELECT company_id, day AS forecast_date, CAST(bal AS DECIMAL(18,2)) AS predicted_balance,
   CAST(bal - half AS DECIMAL(18,2)) AS lower_bound, CAST(bal + half AS DECIMAL(18,2)) AS upper_bound
 FROM (
-  SELECT company_id, day, CAST(balance + SUM(flow) OVER w AS DECIMAL(28,8)) AS bal,
+  SELECT company_id, day, CAST(balance + CAST(SUM(flow) OVER w AS DECIMAL(28,8)) AS DECIMAL(28,8)) AS bal,
     CAST(1.2815515655446004::DOUBLE * sqrt(SUM(variance) OVER w) AS DECIMAL(28,8)) AS half
   FROM (
     SELECT d.company_id, d.day, d.balance,
