@@ -14,16 +14,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..context import RunContext
-from ..functions.money import MONEY
+from ..functions.money import MONEY, score4
 from ..functions.text import iban
 from ..functions.times import gulf_date
 from ..operators.history import running_balance
 from ..operators.ledger_calendar import account_roster
+from ..operators.posting import decided_events, raw_lines
+from ..operators.skew import running, union_all
 
 AS_OF = date(2024, 1, 31)
 NOW = datetime(2024, 1, 31, 6, 0)
 RUN = "run-1"
 HISTORY_DAYS = 30
+LIVE_FROM, UNSENT_FROM = "2024-01-15 00:00:00", "2024-01-25 00:00:00"
 
 
 def context(run_id: str = RUN) -> RunContext:
@@ -177,11 +180,103 @@ class Ledger:
             F.date_add(F.lit(AS_OF), (key % 40).cast("int") - 3).alias("due_date"),
         )
 
+    @cached_property
+    def outbox(self) -> DataFrame:
+        """Events of all decided payments and of their postings; those of the last days are not published yet."""
+        rows = decided_events(
+            self.silver_payments.drop("event_id"), self.transactions,
+            F.col("payment_id") * 10 + 1, F.col("transaction_id") * 10 + 2,
+        )
+        sent = F.col("created_at") < F.lit(UNSENT_FROM).cast("timestamp_ntz")
+        return rows.withColumn("published_at", F.when(sent, F.col("created_at") + F.expr("INTERVAL 2 SECONDS")))
+
+    @cached_property
+    def live_outbox(self) -> DataFrame:
+        """The outbox as if it had been switched on in mid-month; older history has no events."""
+        return self.outbox.where(F.col("created_at") >= F.lit(LIVE_FROM).cast("timestamp_ntz"))
+
+    @cached_property
+    def raw_events(self) -> DataFrame:
+        """Every event delivered twice, blank lines, and chat texts as lines that are no events."""
+        turns = self.raw("conversations")
+        copies = [F.struct("body", F.lit(name).alias("source")) for name in ("file-1", "file-0")]
+        lines = raw_lines(self.outbox, F.lit("")).select(F.inline(F.array(*copies)))
+        blank = turns.select(F.lit("   ").alias("body"), F.lit("file-2").alias("source"))
+        noise = turns.select(F.col("text").alias("body"), F.lit("file-2").alias("source"))
+        return union_all([lines, blank, noise])
+
+    @cached_property
+    def anomalies(self) -> DataFrame:
+        """Flags on large executed payments, as the scoring job would have published them."""
+        amount, at = F.col("amount"), F.col("executed_at")
+        return self.silver_payments.where((F.col("status") == "EXECUTED") & (amount >= 125)).select(
+            (F.col("payment_id") + 1).alias("id"),
+            "company_id",
+            "payment_id",
+            F.col("payment_id").alias("transaction_id"),
+            at.alias("occurred_at"),
+            F.coalesce("beneficiary_name", F.lit("Own account transfer")).alias("counterparty"),
+            "amount",
+            score4(amount.cast("double") / 400.0).alias("score"),
+            F.concat(F.lit("Unusual: payment of "), amount.cast("string")).alias("reason"),
+            (at + F.expr("INTERVAL 15 MINUTES")).alias("detected_at"),
+            F.lit("payment_anomaly").alias("model_name"),
+            F.when(at < F.lit(LIVE_FROM).cast("timestamp_ntz"), "1").otherwise("2").alias("model_version"),
+        )
+
+    @cached_property
+    def trace(self) -> DataFrame:
+        """Stages reached by executed payments; the last days have not reached serving."""
+        done = self.payments.where(F.col("status") == "EXECUTED")
+        at, late = F.col("executed_at"), F.col("executed_at") >= F.lit(UNSENT_FROM).cast("timestamp_ntz")
+
+        def stage(name: str, delay: str, when: Column | None = None) -> Column:
+            mark = F.struct(F.lit(name).alias("stage"), (at + F.expr(f"INTERVAL {delay}")).alias("at"))
+            return mark if when is None else F.when(when, mark)
+
+        stages = F.array(stage("serving", "7 MINUTES", ~late), stage("event_hubs", "2 SECONDS"), stage("bronze", "5 MINUTES"))
+        return done.select("payment_id", F.inline(F.array_compact(stages)))
+
+    @cached_property
+    def runs(self) -> DataFrame:
+        """One pipeline run per business day."""
+        finished = F.max("booked_at") + F.expr("INTERVAL 1 MINUTES")
+        return self.postings.groupBy(F.col("value_date").cast("string").alias("run_id")).agg(
+            finished.alias("finished_at"), (finished + F.expr("INTERVAL 5 MINUTES")).alias("next_batch_at")
+        )
+
+    @cached_property
+    def requests(self) -> DataFrame:
+        """Each payment's creator asks for that payment and for the one with the next id."""
+        who = F.col("created_by")
+        return self.payments.select(
+            who.alias("user_id"),
+            F.concat(F.lit("user"), who.cast("string")).alias("username"),
+            "company_id",
+            F.explode(F.array("payment_id", F.col("payment_id") + 1)).alias("target_id"),
+        )
+
+    @cached_property
+    def decisions(self) -> DataFrame:
+        """Two decisions on each payment, in close succession, by two of the company's users."""
+        p, base = F.col("payment_id"), (F.col("company_id") - 1) * 3
+        asked = F.col("created_at")
+
+        def decision(n: int, user: Column, verb: Column, minutes: Column) -> Column:
+            at = asked + F.make_dt_interval(mins=minutes.cast("int"))
+            return F.struct(
+                (p * 2 + n).alias("decision_id"), user.cast("int").alias("user_id"), verb.alias("verb"), at.alias("decided_at")
+            )
+
+        verb = F.when(p % 2 == 0, "reject").otherwise("approve")
+        both = F.array(
+            decision(0, base + 2, F.lit("approve"), F.lit(10)), decision(1, base + p % 3 + 1, verb, p % 3 + 9)
+        )
+        return self.payments.select("payment_id", F.inline(both))
+
     @cached_property
     def counters(self) -> DataFrame:
         """A request counter per (region, workload) that starts over every 5,000 events."""
-        from ..operators.skew import running
-
         e = F.col("event_id")
         base = self.raw("events").select(
             "event_id", "ts", (F.col("user_id") % 2).cast("string").alias("region"), F.col("event_type").alias("workload"),
@@ -263,4 +358,37 @@ SELECT ts, CAST(user_id % 2 AS VARCHAR) AS region, event_type AS workload,
   CAST(COUNT(*) OVER (PARTITION BY user_id % 2, event_type, event_id // 5000 ORDER BY event_id
     ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) AS value
 FROM events""",
+    "outbox": """
+SELECT payment_id * 10 + 1 AS id, company_id, 'payment' AS aggregate_type, CAST(payment_id AS VARCHAR) AS aggregate_id,
+  'payment.executed' AS event_type, executed_at AS created_at, payment_id FROM payments WHERE status = 'EXECUTED'
+UNION ALL SELECT payment_id * 10 + 1, company_id, 'payment', CAST(payment_id AS VARCHAR), 'payment.rejected', decided_at,
+  payment_id FROM payments WHERE status = 'REJECTED'
+UNION ALL SELECT transaction_id * 10 + 2, company_id, 'transaction', CAST(transaction_id AS VARCHAR), 'transaction.posted',
+  booked_at, payment_id FROM postings
+  WHERE payment_id IN (SELECT payment_id FROM payments WHERE status = 'EXECUTED')""",
+    "live_outbox": "SELECT * FROM outbox WHERE created_at >= TIMESTAMP '2024-01-15 00:00:00'",
+    "anomalies": """
+SELECT payment_id + 1 AS id, company_id, payment_id, payment_id AS transaction_id, executed_at AS occurred_at,
+  coalesce(beneficiary_name, 'Own account transfer') AS counterparty, amount,
+  CAST(least(CAST(amount AS DOUBLE) / 400.0, 1.0) AS DECIMAL(6,4)) AS score,
+  'Unusual: payment of ' || CAST(amount AS VARCHAR) AS reason, executed_at + INTERVAL 15 MINUTES AS detected_at,
+  'payment_anomaly' AS model_name, CASE WHEN executed_at < TIMESTAMP '2024-01-15 00:00:00' THEN '1' ELSE '2' END AS model_version
+FROM payments WHERE status = 'EXECUTED' AND amount >= 125""",
+    "trace": """
+SELECT payment_id, 'event_hubs' AS stage, executed_at + INTERVAL 2 SECONDS AS at FROM payments WHERE status = 'EXECUTED'
+UNION ALL SELECT payment_id, 'bronze', executed_at + INTERVAL 5 MINUTES FROM payments WHERE status = 'EXECUTED'
+UNION ALL SELECT payment_id, 'serving', executed_at + INTERVAL 7 MINUTES FROM payments
+  WHERE status = 'EXECUTED' AND executed_at < TIMESTAMP '2024-01-25 00:00:00'""",
+    "runs": """
+SELECT CAST(value_date AS VARCHAR) AS run_id, MAX(booked_at) + INTERVAL 1 MINUTE AS finished_at,
+  MAX(booked_at) + INTERVAL 6 MINUTES AS next_batch_at FROM postings GROUP BY value_date""",
+    "requests": """
+SELECT created_by AS user_id, 'user' || CAST(created_by AS VARCHAR) AS username, company_id, payment_id + k AS target_id
+FROM payments, (VALUES (0), (1)) AS t(k)""",
+    "decisions": """
+SELECT payment_id, payment_id * 2 AS decision_id, CAST((company_id - 1) * 3 + 2 AS INTEGER) AS user_id, 'approve' AS verb,
+  created_at + INTERVAL 10 MINUTES AS decided_at FROM payments
+UNION ALL SELECT payment_id, payment_id * 2 + 1, CAST((company_id - 1) * 3 + payment_id % 3 + 1 AS INTEGER),
+  CASE WHEN payment_id % 2 = 0 THEN 'reject' ELSE 'approve' END,
+  created_at + to_minutes(CAST(payment_id % 3 + 9 AS INTEGER)) FROM payments""",
 }
