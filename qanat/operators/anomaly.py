@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -145,9 +147,18 @@ def reason() -> Column:
     )
 
 
-def flag(scored: DataFrame, reference: DataFrame, stats: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Flagged payments with `score` and `reason`; rarity is looked up for these alone."""
-    hits = scored.where(F.col("score") >= threshold)
+def flag(
+    scored: DataFrame,
+    reference: DataFrame,
+    stats: DataFrame,
+    threshold: float = THRESHOLD,
+    keep: Callable[[DataFrame], DataFrame] = lambda df: df,
+) -> DataFrame:
+    """Flagged payments with `score` and `reason`; rarity is looked up for these alone.
+
+    `keep` may set down the few hits, so that the scores behind them are computed once.
+    """
+    hits = keep(scored.where(F.col("score") >= threshold))
     return strongest(hits, rarity(hits, reference, stats)).withColumn("reason", reason())
 
 

@@ -9,15 +9,20 @@ size is set by the grid and checked before it is used, not by the number of paym
 from __future__ import annotations
 
 import math
+import sys
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .anomaly import FEATURES
 from .skew import spread_join
 
+# The tree functions travel with the job, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 N_TREES, SEED, TREES_PER_TASK = 300, 42, 10
 GRID = 0.05  # width of a cell along the two logarithms; the other features are whole numbers
 MAX_CELLS = 4_000_000  # cells a task may hold; a finer grid is coarsened until it fits
@@ -102,7 +107,7 @@ def _points(pdf: pd.DataFrame, grid: float) -> np.ndarray:
 
 
 def _per_task(cells: DataFrame, n_tasks: int) -> DataFrame:
-    return cells.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_tasks - 1))).cast("int").alias("task"))
+    return cells.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_tasks - 1))).alias("task"))
 
 
 def n_tasks(n_trees: int, trees_per_task: int) -> int:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,13 +52,20 @@ def _time_blocks() -> list[Column]:
     return [time_block(F.col("executed_at"), SLICE_SECONDS)]
 
 
-def with_prior_payments(pay: DataFrame) -> DataFrame:
-    """Earlier payments of the company to the same beneficiary: `_prior_n` and `_prior_sum`.
+def prior_payments(pay: DataFrame) -> DataFrame:
+    """(payment_id, _prior_n, _prior_sum): the company's earlier payments to the same beneficiary.
 
     Payments without a beneficiary have no history; each gets its own key, so that they do not pile up
     on one NULL group.
     """
-    keyed = pay.withColumn("_solo", F.when(F.col("beneficiary_id").isNull(), F.col("payment_id")))
+    keyed = pay.select(
+        "payment_id",
+        "company_id",
+        "beneficiary_id",
+        F.when(F.col("beneficiary_id").isNull(), F.col("payment_id")).alias("_solo"),
+        "amount",
+        "executed_at",
+    )
     done = running(
         keyed,
         ["company_id", "beneficiary_id", "_solo"],
@@ -64,42 +73,53 @@ def with_prior_payments(pay: DataFrame) -> DataFrame:
         _time_blocks(),
         {"_prior_n": F.lit(1).cast("long"), "_prior_sum": F.col("amount")},
     )
-    return done.withColumn("_prior_n", F.coalesce("_prior_n", F.lit(0))).drop("_solo")
+    return done.select("payment_id", F.coalesce("_prior_n", F.lit(0)).alias("_prior_n"), "_prior_sum")
 
 
-def with_twins(pay: DataFrame) -> DataFrame:
-    """Earlier payments of the same company, payee, amount and value date: `same_day_duplicates`."""
+def same_day_twins(pay: DataFrame) -> DataFrame:
+    """(payment_id, same_day_duplicates): earlier payments of the same company, payee, amount and value date."""
+    keys = ["company_id", "beneficiary_id", "to_account_id", "amount", "value_date"]
     done = running(
-        pay,
-        ["company_id", "beneficiary_id", "to_account_id", "amount", "value_date"],
+        pay.select("payment_id", *keys, "executed_at"),
+        keys,
         ["executed_at", "payment_id"],
         _time_blocks(),
         {"same_day_duplicates": F.lit(1).cast("long")},
     )
-    return done.withColumn("same_day_duplicates", F.coalesce("same_day_duplicates", F.lit(0)))
+    return done.select("payment_id", F.coalesce("same_day_duplicates", F.lit(0)).alias("same_day_duplicates"))
 
 
 def payment_features(
-    payments: DataFrame, transactions: DataFrame, ctx: RunContext, first_time_after_days: int = FIRST_TIME_AFTER_DAYS
+    payments: DataFrame,
+    transactions: DataFrame,
+    ctx: RunContext,
+    first_time_after_days: int = FIRST_TIME_AFTER_DAYS,
+    keep: Callable[[DataFrame], DataFrame] = lambda df: df,
 ) -> DataFrame:
-    """One row per executed payment: the anomaly model's input."""
+    """One row per executed payment: the anomaly model's input.
+
+    The two histories are computed on narrow rows and meet the payment again on its id, which no hot key
+    can unbalance. `keep` may set down the deduplicated payments, which are read five times.
+    """
     wanted = [
         "company_id", "from_account_id", "to_account_id", "beneficiary_id", "beneficiary_name", "amount",
         "value_date", "executed_at",
     ]
     source = payments.select("event_id", "payment_id", "status", *wanted)
-    pay = executed_payments(source).select("payment_id", *wanted)
-    history_start = (
-        source.where(F.col("status") == "EXECUTED").groupBy("company_id").agg(F.min("executed_at").alias("_company_first"))
+    pay = keep(executed_payments(source).select("payment_id", *wanted))
+    history_start = pay.groupBy("company_id").agg(F.min("executed_at").alias("_company_first"))
+    rows = (
+        pay.join(prior_payments(pay), "payment_id")
+        .join(same_day_twins(pay), "payment_id")
+        .join(first_debit(transactions), "payment_id", "left")
     )
-    pay = pay.join(first_debit(transactions), "payment_id", "left")
-    pay = spread_join(with_twins(with_prior_payments(pay)), history_start, ["company_id"], "payment_id")
+    rows = spread_join(rows, history_start, ["company_id"], "payment_id")
 
     known = F.col("beneficiary_id").isNotNull()
     mean = (F.col("_prior_sum") / F.col("_prior_n")).cast(MONEY)
     settled = F.col("_company_first") + F.expr(f"INTERVAL {int(first_time_after_days)} DAYS")
     executed = F.col("executed_at")
-    return pay.select(
+    return rows.select(
         "payment_id",
         "company_id",
         "transaction_id",

@@ -171,6 +171,7 @@ def payments_view(
         return F.when(F.col(id_).isNotNull(), F.struct(F.col(id_).alias("id"), F.col(name).alias("name")))
 
     waiting = F.when(F.col("status") == AWAITING, awaiting_from(F.col("approvers"), F.col("created_by")))
+    p = p.withColumn("_waiting", F.coalesce(waiting, F.array().cast("array<string>")))
     anomaly = F.struct(F.col("_score").cast("string").alias("score"), F.col("_reason").alias("reason"))
     return p.select(
         "payment_id",
@@ -188,12 +189,12 @@ def payments_view(
         ref("decided_by", "decided_by_name").alias("decided_by"),
         "decided_at",
         "executed_at",
-        F.coalesce(waiting, F.array().cast("array<string>")).alias("awaiting_approval_from"),
+        F.col("_waiting").alias("awaiting_approval_from"),
         F.when(F.col("_reason").isNotNull(), anomaly).alias("anomaly"),
     )
 
 
-def payments_list(view: DataFrame, company_id: int, status: str | None = None, limit: int = 200) -> DataFrame:
+def payments_list(view: DataFrame, company_id: int | None, status: str | None = None, limit: int = 200) -> DataFrame:
     mine = scope(view, company_id)
     if status is not None:
         if status not in (AWAITING, "EXECUTED", "REJECTED"):

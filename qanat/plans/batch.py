@@ -19,6 +19,7 @@ from ..operators import posting, serving, silver
 from ..sources.events import read_stream
 from ..sources.lake import BATCH, Lake
 from ..sources.ledger import reference_accounts, scheduled_payments
+from ..sources.settle import settle
 from ..streaming.ingest import drain, new_events
 from . import scoring
 
@@ -99,7 +100,7 @@ def run_gold(job: Job, ctx: RunContext, force: bool = False) -> bool:
     lake.put_partitions(g.cash_position_daily(accounts, tx, ctx), "gold", "cash_position_daily")
     tables = {}
     if lake.exists("silver", "payments"):
-        tables["gold", "payment_features"] = g.payment_features(pay, tx, ctx)
+        tables["gold", "payment_features"] = g.payment_features(pay, tx, ctx, keep=settle)
     if lake.exists("silver", "transactions"):
         tables["gold", "daily_flows"] = g.daily_flows(tx, accounts, ctx)
     if tables:

@@ -153,8 +153,9 @@ FROM payments WHERE status = 'EXECUTED' AND beneficiary_id IS NOT NULL
 WINDOW w AS (PARTITION BY company_id, beneficiary_id ORDER BY executed_at, payment_id
   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
 def prior_payments(L: Ledger) -> DataFrame:
-    done = gold.with_prior_payments(L.payments.where(F.col("status") == "EXECUTED"))
-    return done.where(F.col("beneficiary_id").isNotNull()).select(
+    pay = L.payments.where((F.col("status") == "EXECUTED") & F.col("beneficiary_id").isNotNull())
+    done = gold.prior_payments(pay)
+    return done.select(
         "payment_id", F.col("_prior_n").alias("prior_n"), F.col("_prior_sum").cast("decimal(18,2)").alias("prior_sum")
     )
 
@@ -164,7 +165,7 @@ def prior_payments(L: Ledger) -> DataFrame:
 FROM payments WHERE status = 'EXECUTED'""")
 def same_day_duplicates(L: Ledger) -> DataFrame:
     pay = L.payments.where(F.col("status") == "EXECUTED")
-    return gold.with_twins(pay).select("payment_id", "same_day_duplicates")
+    return gold.same_day_twins(pay)
 
 
 @query("SELECT company_id, payment_id, beneficiary_id, executed_at FROM features WHERE is_first_time_beneficiary")

@@ -12,6 +12,7 @@ from ..operators import anomaly, forecast, forest
 from ..operators.history import daily_flow_history
 from ..sources import models
 from ..sources.lake import Lake
+from ..sources.settle import settle
 from ..sources.ledger import scheduled_payments, scoring_state
 
 log = logging.getLogger("qanat")
@@ -20,7 +21,8 @@ SKIPPED = {"status": "skipped"}
 
 
 def _frame(lake: Lake) -> DataFrame:
-    return anomaly.anomaly_frame(lake.read("gold", "payment_features"))
+    """The model frame, set down once: cells, distribution and scores all read it."""
+    return settle(anomaly.anomaly_frame(lake.read("gold", "payment_features")))
 
 
 def _metrics_json(metrics: DataFrame) -> DataFrame:
@@ -53,7 +55,7 @@ def train(lake: Lake, settings: Settings, ctx: RunContext) -> dict:
 
     metrics = {
         forecast.MODEL_NAME: (profile_version, forecast.backtest(history)),
-        anomaly.MODEL_NAME: (forest_version, anomaly.training_metrics(scored(lake, frame))),
+        anomaly.MODEL_NAME: (forest_version, anomaly.training_metrics(settle(scored(lake, frame).select("score")))),
     }
     rows = [
         _metrics_json(m).select(
@@ -111,7 +113,7 @@ def score(lake: Lake, ledger, settings: Settings, ctx: RunContext, moved: bool)
         return {"status": "unchanged"}
     balances = forecast.latest_non_reserve(lake.read("gold", "cash_position_daily"))
     path = forecast.project(fc["profile"], balances, scheduled_payments(ledger), ctx.as_of)
-    flagged = anomaly.flag(scored(lake, _frame(lake)), an["reference"], an["stats"])
+    flagged = anomaly.flag(scored(lake, _frame(lake)), an["reference"], an["stats"], keep=settle)
     lake.publish(
         {
             ("serving", "forecast"): forecast.forecast_rows(path, forecast.MODEL_NAME, fc_version, ctx.now_col),
