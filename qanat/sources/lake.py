@@ -63,6 +63,11 @@ class Files:
         p, fs = self._open(path)
         return fs.exists(p)
 
+    def has_data(self, path: str) -> bool:
+        """The folder holds a file or partition that is not hidden."""
+        p, fs = self._open(path)
+        return fs.exists(p) and any(c.getPath().getName()[0] not in "._" for c in fs.listStatus(p))
+
     def make_dir(self, path: str) -> None:
         p, fs = self._open(path)
         fs.mkdirs(p)
@@ -103,9 +108,8 @@ class Lake:
         return base if version is None else f"{base}/v{version:06d}"
 
     def checkpoint(self, name: str) -> str:
-        """A stream's checkpoint: in the cluster's shared checkpoint folder when it names one."""
-        shared = self.spark.conf.get("spark.checkpoint.dir", None)
-        return f"{shared or self.root + '/_checkpoints'}/{name}"
+        """A stream's checkpoint; it lives and dies with the lake's tables."""
+        return f"{self.root}/_checkpoints/{name}"
 
     def _state(self, name: str) -> dict:
         return json.loads(self.files.read(f"{self.root}/_state/{name}.json") or "{}")
@@ -127,7 +131,7 @@ class Lake:
 
     def exists(self, layer: str, table: str) -> bool:
         if (layer, table) in PARTITIONED:
-            return self.files.exists(f"{self.path(layer, table)}/_SUCCESS")
+            return self.files.has_data(self.path(layer, table))
         return self.version(layer, table) is not None
 
     def read(self, layer: str, table: str) -> DataFrame:

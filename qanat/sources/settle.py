@@ -9,14 +9,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 DIR_SETTING = "spark.checkpoint.dir"
+_own_folders: dict[str, str] = {}  # per application, only where the cluster names none
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names for checkpoints; a fresh local one only where none is named."""
     named = spark.conf.get(DIR_SETTING, None)
     if named is None:
-        named = tempfile.mkdtemp(prefix="qanat-")
-        spark.conf.set(DIR_SETTING, named)
+        app = spark.sparkContext.applicationId
+        named = _own_folders.setdefault(app, "") or tempfile.mkdtemp(prefix="qanat-")
+        _own_folders[app] = named
     return named.rstrip("/")
 
 
