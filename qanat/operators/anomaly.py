@@ -86,7 +86,7 @@ def shares(reference: DataFrame, wanted: DataFrame) -> DataFrame:
     totals = reference.groupBy("feature").agg(F.sum("n").alias("_total"))
     return (
         ranked.where(F.col("_side") == 0)
-        .join(totals, "feature")
+        .join(F.broadcast(totals), "feature")  # one row per feature: six
         .select(
             "feature",
             "extremity",
@@ -187,9 +187,8 @@ def training_metrics(scored: DataFrame, threshold: float = THRESHOLD) -> DataFra
     The scores of one forest take as many values as there are cells, so the exact median is folded from
     value counts.
     """
-    counts = scored.select(F.lit(1).alias("all"), "score")
     blocks = [F.floor(F.col("score") * 1e5)]
-    p50 = exact_median(value_counts(counts, ["all"], "score"), ["all"], "score", blocks).select("median").scalar()
+    p50 = exact_median(value_counts(scored, [], "score"), [], "score", blocks).scalar()
     totals = scored.agg(
         F.count(F.lit(1)).cast("double").alias("payments"),
         F.count(F.when(F.col("score") >= threshold, 1)).cast("double").alias("flagged"),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.money import MONEY
 from ..functions.times import gulf_date, weekday
 from .serving import PAYROLL_DAYS, SUPPLIER_DAYS
-from .skew import running, union_all
+from .skew import running, spread_join, union_all
 
 FLOW_COLUMNS = ("other_net", "supplier_net", "payroll_net", "transfer_net")
 # Posting ids per block of a running balance: a window holds at most this many postings, and a trillion
@@ -46,7 +46,7 @@ def running_balance(postings: DataFrame, opening: DataFrame | None = None) -> Da
     )
     if opening is None:
         return done.withColumn("balance_after", F.col("balance_after").cast(MONEY))
-    opened = done.join(opening.select("account_id", "opening_balance"), "account_id", "left")
+    opened = spread_join(done, opening.select("account_id", "opening_balance"), ["account_id"], "transaction_id")
     total = F.coalesce("opening_balance", F.lit(0)) + F.col("balance_after")
     return opened.withColumn("balance_after", total.cast(MONEY)).drop("opening_balance")
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.money import MONEY
 from .dedupe import latest_balance
 from .history import id_block
-from .skew import union_all
+from .skew import spread_join, union_all
 
 STATUSES = ("AWAITING_APPROVAL", "EXECUTED", "REJECTED")
 
@@ -22,7 +22,7 @@ def scope(df: DataFrame, company_id: int | None) -> DataFrame:
 
 def scope_by(df: DataFrame, principals: DataFrame) -> DataFrame:
     """Rows of the companies a set of principals belongs to."""
-    return df.join(principals.select("company_id").distinct(), "company_id", "left_semi")
+    return df.join(principals.select("company_id").distinct(), "company_id", "left_semi")  # skew: left to AQE
 
 
 def owned(requests: DataFrame, targets: DataFrame, target_id: str) -> DataFrame:
@@ -79,7 +79,7 @@ def foreign_key_violations(
     for column, parent, key in checks:
         values = child.where(F.col(column).isNotNull()).select(column).distinct()
         missing = values.join(parent.select(F.col(key).alias(column)), column, "left_anti")
-        rows = child.select(child_id, column).join(missing, column)
+        rows = spread_join(child.select(child_id, column), missing, [column], child_id, how="inner")
         found.append(
             rows.select(
                 F.lit(table).alias("table_name"),
@@ -106,9 +106,8 @@ def uniqueness_violations(df: DataFrame, table: str, keys: Sequence[str]) -> Dat
 
 def decision_outcomes(decisions: DataFrame, payments: DataFrame, users: DataFrame) -> DataFrame:
     """Each decision (decision_id, payment_id, user_id, verb) with the first rule that refuses it, or NULL."""
-    joined = decisions.join(
-        payments.select("payment_id", "created_by", "status"), "payment_id"
-    ).join(users.select("user_id", "role"), "user_id")
+    asked = decisions.join(payments.select("payment_id", "created_by", "status"), "payment_id")
+    joined = spread_join(asked, users.select("user_id", "role"), ["user_id"], "decision_id", how="inner")
     already = F.concat(F.lit("This payment is already "), F.lower("status"), F.lit("."))
     refusal = (
         F.when(
@@ -176,7 +175,7 @@ def insufficient_funds(payments: DataFrame, accounts: DataFrame) -> DataFrame:
     waiting = payments.where(F.col("status") == "AWAITING_APPROVAL")
     funds = accounts.select(F.col("account_id").alias("from_account_id"), "company_id", "reference_balance")
     return (
-        waiting.join(funds, ["from_account_id", "company_id"])
+        spread_join(waiting, funds, ["from_account_id", "company_id"], "payment_id", how="inner")
         .where(F.col("amount") > F.col("reference_balance"))
         .select("payment_id", "company_id", "from_account_id", "amount", "reference_balance")
     )

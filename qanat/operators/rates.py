@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.times import time_block
 
 SERIES = ("region", "workload")
-SLICE_SECONDS = 3_600
+SLICE_SECONDS = 60
 
 
 def counter_increases(samples: DataFrame) -> DataFrame:

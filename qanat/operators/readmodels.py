@@ -76,7 +76,8 @@ def recent_anomalies(anomalies: DataFrame, positions: DataFrame, days: int = 30)
     """Flags since midnight `days` days before the company's newest position date."""
     newest = positions.groupBy("company_id").agg(F.max("as_of_date").alias("_newest"))
     since = F.date_sub("_newest", days).cast("timestamp_ntz")
-    return anomalies.join(newest, "company_id").where(F.col("occurred_at") >= since).drop("_newest")
+    dated = spread_join(anomalies, newest, ["company_id"], "id", how="inner")
+    return dated.where(F.col("occurred_at") >= since).drop("_newest")
 
 
 def newest_first(anomalies: DataFrame) -> DataFrame:

@@ -85,8 +85,13 @@ def numbered(df: DataFrame, order: Sequence[str], blocks: Sequence[Column], name
 def spread_join(
     rows: DataFrame, lookup: DataFrame, on: Sequence[str], spread_by: str, how: str = "left", ways: int = 16
 ) -> DataFrame:
-    """Join rows whose key may be hot to a table with one row per key: every key is split `ways` ways."""
-    salt = F.pmod(F.xxhash64(spread_by), F.lit(ways)).cast("int").alias("_salt")
+    """Join rows whose key may be hot to a table with one row per key: every key is split `ways` ways.
+
+    Rows with a NULL key match nothing; they are spread over all tasks instead of one. Where a sixteenth of
+    a key is still too much for a task, the adaptive skew join splits it further.
+    """
+    unmatched = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in on])
+    salt = F.pmod(F.xxhash64(spread_by), F.when(unmatched, F.lit(1 << 20)).otherwise(F.lit(ways))).cast("int").alias("_salt")
     copies = lookup.select("*", F.explode(F.sequence(F.lit(0), F.lit(ways - 1))).alias("_salt"))
     return rows.select("*", salt).join(copies, [*on, "_salt"], how).drop("_salt")
 
@@ -97,7 +102,7 @@ def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 
 
 def exact_median(counts: DataFrame, keys: Sequence[str], value: str, blocks: Sequence[Column]) -> DataFrame:
-    """Exact median per key from `value_counts`: the mean of the two middle values, as a double.
+    """Exact median per key (or of everything) from `value_counts`: the mean of the two middle values.
 
     Partial aggregation has already folded equal values, so a hot key costs its distinct values only.
     """
@@ -108,7 +113,7 @@ def exact_median(counts: DataFrame, keys: Sequence[str], value: str, blocks: Seq
     def at(position: Column) -> Column:
         return F.max(F.when((below <= position) & (position < below + F.col("n")), F.col(value)))
 
-    joined = ranked.join(totals, list(keys))
+    joined = ranked.join(totals, list(keys)) if keys else ranked.withColumn("_total", totals.scalar())
     low, high = F.floor((F.col("_total") - 1) / 2), F.floor(F.col("_total") / 2)
     return (
         joined.groupBy(*keys)

@@ -65,12 +65,9 @@ def run_bronze(job: Job, ctx: RunContext) -> int:
 
 
 def _merge_silver(job: Job, bronze: DataFrame, ctx: RunContext, batch: int) -> None:
-    events = silver.latest_bronze(bronze).persist()
-    try:
-        for table, build in zip(TABLES, (silver.transactions, silver.payments)):
-            job.lake.merge_insert(build(events, ctx), "silver", table, "event_id", batch)
-    finally:
-        events.unpersist()
+    events = settle(silver.latest_bronze(bronze))
+    for table, build in zip(TABLES, (silver.transactions, silver.payments)):
+        job.lake.merge_insert(settle(build(events, ctx)), "silver", table, "event_id", batch)
 
 
 def run_silver(job: Job, ctx: RunContext) -> bool:
@@ -84,13 +81,25 @@ def run_silver(job: Job, ctx: RunContext) -> bool:
     return True
 
 
+def _only(rows: DataFrame, companies: DataFrame | None) -> DataFrame:
+    return rows if companies is None else rows.join(companies, "company_id", "left_semi")
+
+
+def _with_others(job: Job, table: str, rows: DataFrame, companies: DataFrame | None) -> DataFrame:
+    """The recomputed rows, and the stored ones of the companies that did not move."""
+    if companies is None or not job.lake.exists("gold", table):
+        return rows
+    return rows.unionByName(job.lake.read("gold", table).join(companies, "company_id", "left_anti"))
+
+
 def run_gold(job: Job, ctx: RunContext, force: bool = False) -> bool:
     """Recompute gold when silver moved or a gold table is missing; trace `gold`."""
     lake, target = job.lake, job.lake.progress("silver")
     ids = moved(job, "gold")
     fresh = not ids.isEmpty()
-    missing = not lake.exists("gold", "cash_position_daily") or (
-        lake.exists("silver", "transactions") and not lake.exists("gold", "daily_flows")
+    missing = not lake.exists("gold", "cash_position_daily") or any(
+        lake.exists("silver", source) and not lake.exists("gold", table)
+        for source, table in (("transactions", "daily_flows"), ("payments", "payment_features"))
     )
     if not (fresh or missing or force):
         lake.advance("gold", target)
@@ -98,11 +107,17 @@ def run_gold(job: Job, ctx: RunContext, force: bool = False) -> bool:
     accounts = reference_accounts(job.ledger)
     tx, pay = (lake.read_or_empty("silver", t) for t in TABLES)
     lake.put_partitions(g.cash_position_daily(accounts, tx, ctx), "gold", "cash_position_daily")
+    # Every figure of these two tables depends on one company's rows only, so a company that did not move
+    # keeps its rows; the first run and a forced one compute all companies.
+    companies = None if missing or force else settle(ids.select("company_id").distinct())
     tables = {}
     if lake.exists("silver", "payments"):
-        tables["gold", "payment_features"] = g.payment_features(pay, tx, ctx, keep=settle)
+        mine = _only(pay, companies), _only(tx, companies)
+        fresh_rows = g.payment_features(*mine, ctx, keep=settle)
+        tables["gold", "payment_features"] = _with_others(job, "payment_features", fresh_rows, companies)
     if lake.exists("silver", "transactions"):
-        tables["gold", "daily_flows"] = g.daily_flows(tx, accounts, ctx)
+        fresh_rows = g.daily_flows(_only(tx, companies), accounts, ctx)
+        tables["gold", "daily_flows"] = _with_others(job, "daily_flows", fresh_rows, companies)
     if tables:
         lake.publish(tables)
     if fresh:

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.money import score4
-from ..operators import anomaly, forest
+from ..functions.times import gulf_hour
+from ..operators import anomaly, forest, gold
 from ..sources.settle import settle
-from .queries_gold import CTX, features
+from .queries_gold import CTX
 from .registry import query
 from .views import VIEWS, Ledger
 
@@ -38,9 +39,14 @@ SELECT payment_id, arg_min(feature, (rarity, list_position(['dup_count', 'log_ra
   'is_first_time', 'log_amount_rel'], feature))) AS strongest FROM shares GROUP BY payment_id"""
 
 
+def features_table(L: Ledger) -> DataFrame:
+    """Payment features as the gold table holds them: written once, read by every step after."""
+    return settle(gold.payment_features(L.silver_payments, L.silver_postings, CTX, keep=settle))
+
+
 def frame(L: Ledger) -> DataFrame:
     """The model frame, set down once: the distribution, the look-ups and the cells all read it."""
-    return settle(anomaly.anomaly_frame(settle(features(L))))
+    return settle(anomaly.anomaly_frame(features_table(L)))
 
 
 def rarities(L: Ledger, f: DataFrame) -> DataFrame:
@@ -50,12 +56,14 @@ def rarities(L: Ledger, f: DataFrame) -> DataFrame:
 
 @query("SELECT company_id, median(CAST(amount AS DOUBLE)) AS median FROM features GROUP BY company_id")
 def company_median(L: Ledger) -> DataFrame:
-    return anomaly.company_median(settle(features(L).select("company_id", "amount")))
+    pay = L.payments.where(F.col("status") == "EXECUTED")
+    return anomaly.company_median(pay.select("company_id", "amount"))
 
 
 @query("SELECT median(hour_gst) AS hour_median FROM features")
 def hour_median(L: Ledger) -> DataFrame:
-    return anomaly.hour_median(features(L))
+    pay = L.payments.where(F.col("status") == "EXECUTED")
+    return anomaly.hour_median(pay.select(gulf_hour(F.col("executed_at")).alias("hour_gst")))
 
 
 @query("""SELECT * EXCLUDE (log_amount_rel, log_ratio, ratio), round(log_amount_rel, 9) AS log_amount_rel,

@@ -218,7 +218,7 @@ def payment_numbers(L: Ledger) -> DataFrame:
     """Sequential ids in creation order, numbered without one global sort task."""
     from ..functions.times import time_block
 
-    blocks = [time_block(F.col("created_at"), 600)]
+    blocks = [time_block(F.col("created_at"), 60)]
     return numbered(L.payments, ["created_at", "company_id", "payment_id"], blocks).select("payment_id", "id")
 
 

@@ -38,9 +38,12 @@ class Ledger:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        self._raw: dict[str, DataFrame] = {}
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        if name not in self._raw:
+            self._raw[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self._raw[name]
 
     @cached_property
     def companies(self) -> DataFrame:
@@ -50,7 +53,6 @@ class Ledger:
             F.col("c_name").alias("name"),
             "emirate",
             F.col("c_mktsegment").alias("industry"),
-            F.col("c_acctbal").cast(MONEY).alias("_wealth"),
         )
 
     @cached_property
@@ -79,8 +81,9 @@ class Ledger:
         """The roster with reference balances; company wealth times 100, 40, 10 and 5."""
         weight = F.when(F.col("account_kind") == "operating", 100).when(F.col("account_kind") == "reserve", 40)
         weight = weight.when(F.col("account_kind") == "payroll", 10).otherwise(5)
-        wealth = self.companies.select("company_id", "_wealth")
-        return account_roster(self.companies.select("company_id")).join(wealth, "company_id").select(
+        company = (F.col("c_custkey") + 1).cast("int").alias("company_id")
+        owners = self.raw("customer").select(company, F.col("c_acctbal").cast(MONEY).alias("_wealth"))
+        return account_roster(owners, "_wealth").select(
             "account_id", "company_id", "account_kind", "name", "iban",
             (F.col("_wealth") * weight).cast(MONEY).alias("reference_balance"),
         )
@@ -294,8 +297,7 @@ class Ledger:
 # The same views in SQL. Each entry may use the driver's tables and the entries before it.
 VIEWS = {
     "companies": """
-SELECT CAST(c_custkey + 1 AS INTEGER) AS company_id, c_name AS name, n_name AS emirate, c_mktsegment AS industry,
-  CAST(c_acctbal AS DECIMAL(18,2)) AS wealth
+SELECT CAST(c_custkey + 1 AS INTEGER) AS company_id, c_name AS name, n_name AS emirate, c_mktsegment AS industry
 FROM customer JOIN nation ON c_nationkey = n_nationkey""",
     "users": """
 SELECT CAST(c_custkey * 3 + r.no AS INTEGER) AS user_id, CAST(c_custkey + 1 AS INTEGER) AS company_id,
@@ -305,10 +307,10 @@ SELECT CAST(c_custkey * 3 + r.no AS INTEGER) AS user_id, CAST(c_custkey + 1 AS I
 FROM customer, (VALUES (1, 'initiator', 'Treasury analyst'), (2, 'approver', 'CFO'), (3, 'approver', 'Treasurer'))
   AS r(no, role, title)""",
     "accounts": """
-SELECT CAST((company_id - 1) * 4 + k.no AS INTEGER) AS account_id, company_id, k.kind AS account_kind, k.label AS name,
-  printf('AE07 0331 0000 %04d %04d 00%d', company_id, 1000 + company_id * 10 + k.no, k.no) AS iban,
-  CAST(wealth * k.weight AS DECIMAL(18,2)) AS reference_balance
-FROM companies, (VALUES (1, 'operating', 'Operating', 100), (2, 'reserve', 'Reserve', 40), (3, 'payroll', 'Payroll', 10),
+SELECT CAST(c_custkey * 4 + k.no AS INTEGER) AS account_id, CAST(c_custkey + 1 AS INTEGER) AS company_id, k.kind AS account_kind, k.label AS name,
+  printf('AE07 0331 0000 %04d %04d 00%d', c_custkey + 1, 1000 + (c_custkey + 1) * 10 + k.no, k.no) AS iban,
+  CAST(CAST(c_acctbal AS DECIMAL(18,2)) * k.weight AS DECIMAL(18,2)) AS reference_balance
+FROM customer, (VALUES (1, 'operating', 'Operating', 100), (2, 'reserve', 'Reserve', 40), (3, 'payroll', 'Payroll', 10),
   (4, 'collections', 'Collections', 5)) AS k(no, kind, label, weight)""",
     "beneficiaries": """
 SELECT CAST(c_custkey * 10 + k AS INTEGER) AS beneficiary_id, CAST(c_custkey + 1 AS INTEGER) AS company_id,

@@ -17,6 +17,7 @@ def kafka_options(s: Settings) -> dict[str, str]:
         "subscribe": s.kafka_topic,
         "startingOffsets": "earliest",
         "failOnDataLoss": "false",
+        "maxOffsetsPerTrigger": str(s.max_records_per_batch),
     }
     if s.kafka_connection_string:
         options |= {
@@ -46,7 +47,7 @@ def read_stream(spark: SparkSession, s: Settings) -> DataFrame:
     if s.source == "kafka":
         return from_kafka(spark.readStream.format("kafka").options(**kafka_options(s)).load())
     if s.source == "files":
-        return from_text(spark.readStream.format("text").load(s.landing_dir))
+        return from_text(spark.readStream.format("text").option("maxFilesPerTrigger", s.max_files_per_batch).load(s.landing_dir))
     raise ValueError(f"source must be kafka or files, not {s.source!r}")
 
 

@@ -158,3 +158,33 @@ def test_retraining_makes_a_new_champion(spark, tmp_path):
     assert scoring.train(j.lake, j.settings, ctx)["payment_anomaly"] == "2"
     assert scoring.score(j.lake, j.ledger, j.settings, ctx, moved=False)["status"] == "scored"
     assert {r["model_version"] for r in j.lake.read("serving", "forecast").collect()} == {"2"}
+
+
+def test_gold_of_moved_companies_equals_a_full_recompute(spark, tmp_path):
+    """A batch that moves one company recomputes it alone; the result is what computing everything gives."""
+    pays, posts, balances = history(20)
+    j = job(spark, tmp_path, ledger(spark, balances, pays, posts))
+    run_backfill(j, j.settings.context("seed", NOW))
+    other = [line.replace('"company_id": 1', '"company_id": 2').replace('\\"company_id\\": 1', '\\"company_id\\": 2') for line in transfer_lines(first_tx=10_000_001)]
+    land(j, "a", other)
+    ctx = j.settings.context("run-a", NOW)
+    batch.run_bronze(j, ctx)
+    batch.run_silver(j, ctx)
+    assert batch.run_gold(j, ctx)
+    drop = ["run_id", "computed_at"]
+    part = {t: {tuple(r) for r in j.lake.read("gold", t).drop(*drop).collect()} for t in ("payment_features", "daily_flows")}
+    runs = {r["company_id"]: r["run_id"] for r in j.lake.read("gold", "payment_features").collect()}
+    assert runs == {1: "seed", 2: "run-a"}  # company 1 was not touched
+    batch.run_gold(j, j.settings.context("full", NOW), force=True)
+    for t, rows in part.items():
+        assert {tuple(r) for r in j.lake.read("gold", t).drop(*drop).collect()} == rows
+
+
+def test_settings_from_text(spark):
+    from qanat.cli import parse, parse_time
+    from qanat.context import Settings
+
+    args, s = parse(["gold", "--run-id", "7", "AS_OF=2026-10-05", "ML_SEED=", "CADENCE_SECONDS=30", "SOURCE=kafka"])
+    assert (args.stage, args.run_id, s.as_of, s.ml_seed, s.cadence_seconds, s.source) == ("gold", "7", date(2026, 10, 5), 42, 30, "kafka")
+    assert str(parse_time("2026-10-05T08:00:00+04:00")) == str(parse_time("2026-10-05T04:00:00Z")) == "2026-10-05 04:00:00"
+    assert Settings(as_of=None).business_date(NOW.replace(hour=21)) == date(2026, 10, 6)  # Gulf midnight has passed
