@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import schemas
 from ..context import RunContext, Settings, utcnow
 from ..functions.times import ts_lit
 from ..operators import gold as g
@@ -67,7 +68,7 @@ def run_bronze(job: Job, ctx: RunContext) -> int:
 def _merge_silver(job: Job, bronze: DataFrame, ctx: RunContext, batch: int) -> None:
     events = settle(silver.latest_bronze(bronze))
     for table, build in zip(TABLES, (silver.transactions, silver.payments)):
-        job.lake.merge_insert(settle(build(events, ctx)), "silver", table, "event_id", batch)
+        job.lake.merge_insert(build(events, ctx), "silver", table, "event_id", batch, keys_in=events)
 
 
 def run_silver(job: Job, ctx: RunContext) -> bool:
@@ -143,12 +144,12 @@ def run_serving(job: Job, ctx: RunContext) -> dict:
             _trace(job, ids, "serving", ctx)
         finished = utcnow()
         row = serving.run_row(job.spark, ctx, ts_lit(finished), new_events(lake, done), ids, refreshed)
-        lake.append(row, "ops", "pipeline_runs")
-        result = row.first().asDict()
+        result = row.first()  # the one row of the run log
+        lake.append(job.spark.createDataFrame([result], schemas.RUNS), "ops", "pipeline_runs")
     finally:
         ids.unpersist()
     lake.advance("serving", target)
-    return result
+    return result.asDict()
 
 
 def run_batch(job: Job, run_id: str, now=None) -> dict:

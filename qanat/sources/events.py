@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,3 +68,9 @@ def keyed_records(outbox_lines: DataFrame) -> DataFrame:
         .sortWithinPartitions("company_id", "id")
         .select(F.col("company_id").cast("string").alias("key"), F.col("body").alias("value"))
     )
+
+
+def export_json(tables: Mapping[str, DataFrame], folder: str) -> None:
+    """A whole dataset as JSON: one folder of JSON lines per table, written by the executors."""
+    for name, df in tables.items():
+        df.write.mode("overwrite").option("partitionOverwriteMode", "static").option("ignoreNullFields", "false").json(f"{folder}/{name}")

@@ -179,13 +179,16 @@ class Lake:
         self._put_state("published", fresh)
         return fresh
 
-    def merge_insert(self, df: DataFrame, layer: str, table: str, key: str, batch: int) -> None:
-        """Insert rows whose key is new, as one batch; rows that batch already holds are kept."""
+    def merge_insert(self, df: DataFrame, layer: str, table: str, key: str, batch: int, keys_in: DataFrame | None = None) -> None:
+        """Insert rows whose key is new, as one batch; rows that batch already holds are kept.
+
+        `keys_in` is a cheaper frame that holds all of df's keys.
+        """
         new = df.dropDuplicates([key])
         if self.exists(layer, table):
             # A replayed batch re-inserts its own rows, so only other batches hide a key. Ids grow, so the
             # range of the new keys lets the scan skip the row groups of older files.
-            low, high = (df.agg(f(key)).scalar() for f in (F.min, F.max))
+            low, high = ((df if keys_in is None else keys_in).agg(f(key)).scalar() for f in (F.min, F.max))
             old = self.read(layer, table).where((F.col(BATCH) != batch) & F.col(key).between(low, high))
             new = new.join(old.select(key), key, "left_anti")
         self.put_batch(new, layer, table, batch)

@@ -89,7 +89,7 @@ def test_a_silver_write_that_is_replayed_adds_nothing(spark, tmp_path, monkeypat
     land(j, "a", transfer_lines())
     merge = j.lake.merge_insert
 
-    def once(df, layer, table, key, number):
+    def once(df, layer, table, key, number, keys_in=None):
         if table == "payments":
             raise RuntimeError("lost")
         merge(df, layer, table, key, number)

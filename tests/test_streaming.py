@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from qanat.context import Settings
 from qanat.operators.silver import to_bronze
-from qanat.sources.events import from_kafka, kafka_options, keyed_records, read_stream, write_lines
+from qanat.sources.events import export_json, from_kafka, kafka_options, keyed_records, read_stream, write_lines
 from qanat.sources.lake import Lake
 from qanat.streaming.ingest import dedupe_in_flight, drain
 from qanat.streaming.relay import file_sink, relay
@@ -156,3 +156,10 @@ def test_first_trace_row_stays(spark, tmp_path):
     for at in ("2026-10-05 01:00:00", "2026-10-05 02:00:00"):
         lake.insert_absent(row(at), "ops", "pipeline_trace", ["payment_id", "stage"])
     assert [str(r["at"]) for r in lake.read("ops", "pipeline_trace").collect()] == ["2026-10-05 01:00:00"]
+
+
+def test_export_as_json(spark, tmp_path):
+    rows = spark.createDataFrame([(1, None), (2, "b")], "id long, name string")
+    export_json({"t": rows}, str(tmp_path / "out"))
+    lines = sorted(r["value"] for r in spark.read.text(str(tmp_path / "out" / "t")).collect())
+    assert lines == ['{"id":1,"name":null}', '{"id":2,"name":"b"}']
