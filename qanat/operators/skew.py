@@ -1,9 +1,10 @@
 """Running totals, ranks, medians and look-ups whose cost does not depend on how large one key is.
 
-A plain window puts all rows of a key into one task. Here the order is cut into blocks (id ranges or
-time slices): rows are windowed inside (key, block), the small table of block totals is accumulated
-per key, and the two are added. A key holding a third of all rows is spread over all its blocks.
-Blocks are arithmetic on the order column, so a re-run of a lost task gives the same blocks.
+A plain window puts all rows of a key into one task. Keys are therefore counted first. Where all are small,
+the plain window is right. The order of a large key is cut into blocks (id ranges or time slices): its rows
+are windowed inside (key, block), the small table of block totals is accumulated per key, and the two are
+added. A key holding a third of all rows is spread over all its blocks. Blocks are arithmetic on the order
+column, so a re-run of a lost task gives the same blocks.
 """
 
 from __future__ import annotations
@@ -14,7 +15,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.settle import settle
+
 KEY = "_key"
+HOT_ROWS = 1_000_000  # a key with more rows is cut into blocks
+MAX_HOT_KEYS = 100_000  # the list of such keys is broadcast up to this size; beyond it every key is cut
 
 
 def _frame(inclusive: bool) -> tuple[int, int]:
@@ -49,6 +54,8 @@ def running(
     blocks: Sequence[Column],
     sums: Mapping[str, Column],
     inclusive: bool = False,
+    hot_rows: int = HOT_ROWS,
+    max_hot_keys: int = MAX_HOT_KEYS,
 ) -> DataFrame:
     """Running sums per key: the rows before each row, or up to and including it.
 
@@ -66,13 +73,23 @@ def running(
         *[b.alias(n) for b, n in zip(blocks, block_names)],
         *[c.alias(f"_v_{n}") for n, c in sums.items()],
     )
-    totals = rows.groupBy(KEY, *block_names).agg(*[F.sum(f"_v_{n}").alias(n) for n in names])
+    cut = rows  # rows of the keys that are cut; the others keep a NULL block and so stay together
+    if keys:
+        sizes = rows.groupBy(KEY).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
+        hot = settle(sizes.select(KEY, F.lit(True).alias("_hot")))
+        n_hot = hot.count()
+        if n_hot == 0:
+            w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(*_frame(inclusive))
+            return df.select("*", *[F.sum(c).over(w).alias(n) for n, c in sums.items()])
+        if n_hot <= max_hot_keys:
+            marked = rows.join(F.broadcast(hot), KEY, "left")
+            rows = marked.withColumns({n: F.when(F.col("_hot"), F.col(n)) for n in block_names}).drop("_hot")
+            cut = marked.where(F.col("_hot"))
+    totals = cut.groupBy(KEY, *block_names).agg(*[F.sum(f"_v_{n}").alias(n) for n in names])
     offsets = _block_offsets(totals, names, block_names)
     w = Window.partitionBy(KEY, *block_names).orderBy(*order).rowsBetween(*_frame(inclusive))
-    local = rows.select(
-        *df.columns, KEY, *block_names, *[F.sum(f"_v_{n}").over(w).alias(f"_in_{n}") for n in names]
-    )
-    return local.join(offsets, [KEY, *block_names]).select(
+    local = rows.select(*df.columns, KEY, *block_names, *[F.sum(f"_v_{n}").over(w).alias(f"_in_{n}") for n in names])
+    return local.join(offsets, [KEY, *block_names], "left").select(
         *df.columns, *[_plus(F.col(f"_off_{n}"), F.col(f"_in_{n}")).alias(n) for n in names]
     )
 

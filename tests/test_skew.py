@@ -24,9 +24,10 @@ def rows(spark):
 
 @pytest.mark.parametrize("inclusive", [False, True])
 @pytest.mark.parametrize("widths", [(10,), (10, 100), (1_000_000,)])
-def test_running_equals_plain_window(rows, inclusive, widths):
+@pytest.mark.parametrize("limits", [(10**6, 10), (60, 100), (60, 0)])  # no key is cut; the large ones are; all are
+def test_running_equals_plain_window(rows, inclusive, widths, limits):
     blocks = [F.floor(F.col("t") / w) for w in widths]
-    ours = running(rows, ["k", "k2"], ["t", "id"], blocks, {"n": F.lit(1).cast("long"), "s": F.col("amount")}, inclusive)
+    ours = running(rows, ["k", "k2"], ["t", "id"], blocks, {"n": F.lit(1).cast("long"), "s": F.col("amount")}, inclusive, *limits)
     w = Window.partitionBy("k", "k2").orderBy("t", "id").rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     plain = rows.withColumn("n", F.sum(F.lit(1).cast("long")).over(w)).withColumn("s", F.sum("amount").over(w))
     same = plain.join(ours.select("id", F.col("n").alias("n2"), F.col("s").alias("s2")), "id")
