@@ -88,7 +88,7 @@ def bronze_trace(L: Ledger) -> DataFrame:
     return silver.trace_rows(silver.traced_payments(bronze(L)), "bronze", CTX)
 
 
-@query("""SELECT event_type, SUM(k) AS k_sum, COUNT(*) AS n FROM (
+@query("""SELECT event_type, CAST(SUM(k) AS BIGINT) AS k_sum, COUNT(*) AS n FROM (
   SELECT event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) GROUP BY event_type""")
 def props_by_type(L: Ledger) -> DataFrame:
     k = json_at(F.col("props"), "$.k").try_cast("long")
