@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, url_filters
+from . import bpe, language_id, packing, url_filters
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -30,6 +30,13 @@ def tokenizer_path() -> str:
     return str(public_tokenizers.path(TOKENIZER))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_id.train(language_id.sample(docs))
+    found = language_id.label(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", language_id.held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     ids = bpe.encode(docs, tokenizer_path()).select("doc_id", "ids")
@@ -72,5 +79,5 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op4_bpe, op5_url_filters, op9_packing)}
+QUERIES = {f.__name__: f for f in (op2_language_id, op4_bpe, op5_url_filters, op9_packing)}
 ORACLES = {"op5_url_filters": OP5_SQL}
