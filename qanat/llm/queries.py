@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, packing, secrets, url_filters
+from . import bpe, language_id, packing, page_text, secrets, url_filters
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -37,6 +37,11 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language_id.held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
+def op3_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return page_text.extract(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     ids = bpe.encode(docs, tokenizer_path()).select("doc_id", "ids")
@@ -95,5 +100,5 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op4_bpe, op5_url_filters, op9_packing, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op2_language_id, op3_page_text, op4_bpe, op5_url_filters, op9_packing, op10_secrets)}
 ORACLES = {"op5_url_filters": OP5_SQL}
