@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, packing, page_text, secrets, url_filters
+from . import bpe, graph_ann, language_id, packing, page_text, pivot_join, secrets, url_filters
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -30,6 +30,10 @@ def tokenizer_path() -> str:
     return str(public_tokenizers.path(TOKENIZER))
 
 
+def op1_graph_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph_ann.search(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = language_id.train(language_id.sample(docs))
@@ -80,6 +84,10 @@ FROM ranked WHERE n = 1
 """
 
 
+def op8_pivot_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_join.join(table(spark, sf_dir, "embeddings"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -100,5 +108,5 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op3_page_text, op4_bpe, op5_url_filters, op9_packing, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_graph_ann, op2_language_id, op3_page_text, op4_bpe, op5_url_filters, op8_pivot_join, op9_packing, op10_secrets)}
 ORACLES = {"op5_url_filters": OP5_SQL}
