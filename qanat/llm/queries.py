@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, graph_ann, jaccard_join, language_id, packing, page_text, pivot_join, secrets, url_filters
+from . import bpe, graph_ann, jaccard_join, language_id, line_dedup, packing, page_text, pivot_join, secrets, url_filters
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -84,6 +84,10 @@ FROM ranked WHERE n = 1
 """
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), words=4, percent=85)
 
@@ -112,5 +116,5 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_graph_ann, op2_language_id, op3_page_text, op4_bpe, op5_url_filters, op7_jaccard_join, op8_pivot_join, op9_packing, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_graph_ann, op2_language_id, op3_page_text, op4_bpe, op5_url_filters, op6_line_dedup, op7_jaccard_join, op8_pivot_join, op9_packing, op10_secrets)}
 ORACLES = {"op5_url_filters": OP5_SQL}

@@ -20,7 +20,7 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _powers(base: int, n: int) -> np.ndarray:
+def powers(base: int, n: int) -> np.ndarray:
     out = np.full(n, base, np.uint64)
     out[0] = 1
     return np.multiply.accumulate(out)
@@ -31,7 +31,7 @@ _TABLES: list[np.ndarray] = []
 
 def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _TABLES or len(_TABLES[0]) < n:
-        _TABLES[:] = [_powers(BASE, max(n, CHUNK)), _powers(pow(BASE, -1, 1 << 64), max(n, CHUNK))]
+        _TABLES[:] = [powers(BASE, max(n, CHUNK)), powers(pow(BASE, -1, 1 << 64), max(n, CHUNK))]
     return _TABLES[0], _TABLES[1]
 
 
