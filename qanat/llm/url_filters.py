@@ -42,7 +42,7 @@ class Rule:
             body, start = body[2:], r"(?s)^(?:[^\n]*\.)?"
         if body.endswith("|"):
             body, end = body[:-1], "$"
-        parts = [_quoted(p).replace("/", r"\n?/") for p in body.split("*")]
+        parts = [r"\n?/".join(_quoted(x) for x in p.split("/")) for p in body.split("*")]
         return start + ".*".join(parts) + end
 
     def tokens(self) -> list[str]:
