@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 GULF_HOURS = 4
+EPOCH = datetime(1970, 1, 1)
 
 
 def ts_lit(value: datetime) -> Column:
@@ -20,8 +21,13 @@ def date_lit(value: date | str) -> Column:
 
 
 def parse_ts(text: Column) -> Column:
-    """ISO-8601 text to a UTC wall clock; text that is no timestamp gives NULL."""
-    return text.try_cast("timestamp").cast("timestamp_ntz")
+    """ISO-8601 text to a UTC wall clock, whatever the session's zone; text that is no timestamp gives NULL.
+
+    Text with a zone is an instant, counted from the epoch; text without one is UTC already."""
+    zoned = text.rlike(r"\d:\d.*([zZ]|[+-]\d{1,2}(:?\d{2}){0,2}|\s?[A-Za-z]+(/[A-Za-z_]+)*)\s*$")
+    micros = F.unix_micros(text.try_cast("timestamp"))
+    passed = F.make_dt_interval(secs=(micros.cast("decimal(20,0)") / F.lit(1_000_000)).cast("decimal(18,6)"))
+    return F.when(zoned, ts_lit(EPOCH) + passed).otherwise(text.try_cast("timestamp_ntz"))
 
 
 def parse_date(text: Column) -> Column:
@@ -81,10 +87,13 @@ def iso_date(day: Column) -> Column:
 
 
 def next_batch_at(started_at: Column, finished_at: Column, cadence_seconds: int) -> Column:
-    """Batches start every cadence; one that overran is followed straight away."""
+    """When the next batch is due: a cadence after this one's start, or at its end if it took longer."""
     return F.greatest(started_at + F.expr(f"INTERVAL {int(cadence_seconds)} SECONDS"), finished_at)
 
 
 def time_block(ts: Column, seconds: int) -> Column:
-    """Number of the fixed-width time slice a timestamp falls in; never decreases as time moves on."""
-    return F.floor(F.unix_seconds(ts.cast("timestamp")) / F.lit(int(seconds)))
+    """Number of the slice of so many seconds that a wall clock falls in; it never decreases as the clock moves on.
+
+    Read off the clock itself, so that the session's zone and its changes play no part."""
+    passed = F.unix_date(F.to_date(ts)).cast("long") * 86_400 + F.hour(ts) * 3_600 + F.minute(ts) * 60 + F.floor(F.second(ts))
+    return F.floor(passed / F.lit(int(seconds)))

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from ..context import RunContext
 from ..functions.money import MONEY, multiplier, score4
-from ..functions.times import time_block, weekday_clock
-from .gold import OWN_TRANSFER, SLICE_SECONDS
-from .skew import exact_median, numbered, running, spread_join, value_counts
+from ..functions.times import weekday_clock
+from .gold import OWN_TRANSFER
+from .skew import exact_median, moment_blocks, numbered, running, spread_join, value_counts
 
 MODEL_NAME = "payment_anomaly"
 THRESHOLD = 0.65
@@ -164,7 +164,7 @@ def flag(
 
 def anomaly_rows(flagged: DataFrame, version: str, ctx: RunContext) -> DataFrame:
     """Serving rows, numbered by company, time and payment."""
-    blocks = [F.struct("company_id", time_block(F.col("executed_at"), SLICE_SECONDS)), F.col("company_id")]
+    blocks = [F.struct("company_id", b) for b in moment_blocks("executed_at", "payment_id")] + [F.col("company_id")]
     return numbered(flagged, ["company_id", "executed_at", "payment_id"], blocks, "id").select(
         "id",
         "company_id",

@@ -25,7 +25,6 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 N_TREES, SEED, TREES_PER_TASK = 300, 42, 10
 GRID = 0.05  # width of a cell along the two logarithms; the other features are whole numbers
-MAX_CELLS = 4_000_000  # cells a task may hold; a finer grid is coarsened until it fits
 CELL = [f"c_{f}" for f in FEATURES]
 CELLS = ", ".join(f"{c} long" for c in CELL)
 NODES = "task int, tree int, node int, feature int, threshold double, left int, right int, path double"
@@ -44,13 +43,6 @@ def cell_table(frame: DataFrame, grid: float = GRID) -> DataFrame:
     return with_cells(frame, grid).groupBy(*CELL).agg(F.count(F.lit(1)).alias("n"))
 
 
-def fitting_grid(frame: DataFrame, grid: float = GRID, limit: int = MAX_CELLS) -> float:
-    """The grid width, doubled until the occupied cells fit a task. Counts stay on the cluster."""
-    while cell_table(frame, grid).count() > limit:
-        grid *= 2
-    return grid
-
-
 def expected_path(n: np.ndarray | float) -> np.ndarray:
     """Mean path length of an unsuccessful search among n points (0 for one point, 1 for two)."""
     n = np.asarray(n, dtype=float)

@@ -9,14 +9,13 @@ from pyspark.sql import functions as F
 
 from ..context import RunContext
 from ..functions.money import MONEY, safe_ratio
-from ..functions.times import gulf_day_of_week, gulf_hour, gulf_weekend, time_block
+from ..functions.times import gulf_day_of_week, gulf_hour, gulf_weekend
 from .dedupe import earliest_per_key, latest_balance, one_posting_per_id
-from .skew import running, spread_join
+from .skew import moment_blocks, running, spread_join
 
 FIRST_TIME_AFTER_DAYS = 28
 OWN_TRANSFER = "Own account transfer"
 # Width of the time slices a hot beneficiary is cut into; ten years are five million slices.
-SLICE_SECONDS = 60
 BUCKETS = ("other", "supplier", "payroll", "transfer")
 
 
@@ -49,7 +48,7 @@ def first_debit(transactions: DataFrame) -> DataFrame:
 
 
 def _time_blocks() -> list[Column]:
-    return [time_block(F.col("executed_at"), SLICE_SECONDS)]
+    return moment_blocks("executed_at", "payment_id")
 
 
 def prior_payments(pay: DataFrame) -> DataFrame:
@@ -116,7 +115,7 @@ def payment_features(
     rows = spread_join(rows, history_start, ["company_id"], "payment_id")
 
     known = F.col("beneficiary_id").isNotNull()
-    mean = (F.col("_prior_sum") / F.col("_prior_n")).cast(MONEY)
+    mean = (F.col("_prior_sum") / F.col("_prior_n")).cast("decimal(38,6)").cast(MONEY)  # an average has six decimals
     settled = F.col("_company_first") + F.expr(f"INTERVAL {int(first_time_after_days)} DAYS")
     executed = F.col("executed_at")
     return rows.select(

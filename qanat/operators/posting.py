@@ -20,10 +20,10 @@ def posting_legs(payments: DataFrame, accounts: DataFrame, beneficiaries: DataFr
     """
     places = accounts.select("account_id", F.concat_ws(" ", "name", "iban").alias("_place"))
     done = payments.where(F.col("status") == "EXECUTED")
-    done = spread_join(done, places.toDF("from_account_id", "_from"), ["from_account_id"], "payment_id", ways=4)
-    done = spread_join(done, places.toDF("to_account_id", "_to"), ["to_account_id"], "payment_id", ways=4)
+    done = spread_join(done, places.toDF("from_account_id", "_from"), ["from_account_id"], "payment_id")
+    done = spread_join(done, places.toDF("to_account_id", "_to"), ["to_account_id"], "payment_id")
     payees = beneficiaries.select("beneficiary_id", F.col("name").alias("_payee"))
-    done = spread_join(done, payees, ["beneficiary_id"], "payment_id", ways=4)
+    done = spread_join(done, payees, ["beneficiary_id"], "payment_id")
     internal = F.col("to_account_id").isNotNull()
     category = F.when(internal, "transfer").otherwise("supplier")
 
@@ -141,7 +141,7 @@ def backfill_payments(payments: DataFrame, beneficiaries: DataFrame, outbox: Dat
     """Executed payments without an event, with the payee's name."""
     rest = not_in_outbox(payments.where(F.col("status") == "EXECUTED"), outbox, "payment", "payment_id")
     payees = beneficiaries.select("beneficiary_id", F.col("name").alias("beneficiary_name"))
-    return spread_join(rest, payees, ["beneficiary_id"], "payment_id", ways=4)
+    return spread_join(rest, payees, ["beneficiary_id"], "payment_id")
 
 
 def seed_events(payments: DataFrame, transactions: DataFrame) -> DataFrame:

@@ -157,7 +157,7 @@ def payments_view(
 
     def named(rows: DataFrame, table: DataFrame, key: str, name: str, column: str, as_name: str, how: str) -> DataFrame:
         look_up = table.select(F.col(key).alias(column), F.col(name).alias(as_name))
-        return spread_join(rows, look_up, [column], "payment_id", how, ways=4)
+        return spread_join(rows, look_up, [column], "payment_id", how)
 
     p = named(payments, people, "user_id", "display_name", "created_by", "created_by_name", "inner")
     p = named(p, people, "user_id", "display_name", "decided_by", "decided_by_name", "left")
@@ -166,7 +166,7 @@ def payments_view(
     p = named(p, beneficiaries, "beneficiary_id", "name", "beneficiary_id", "beneficiary_name", "left")
     flags = anomalies.select("payment_id", "company_id", F.col("score").alias("_score"), F.col("reason").alias("_reason"))
     p = p.join(flags, ["payment_id", "company_id"], "left")
-    p = spread_join(p, approvers(users), ["company_id"], "payment_id", ways=4)
+    p = spread_join(p, approvers(users), ["company_id"], "payment_id")
 
     def ref(id_: str, name: str) -> Column:
         return F.when(F.col(id_).isNotNull(), F.struct(F.col(id_).alias("id"), F.col(name).alias("name")))

@@ -1,10 +1,10 @@
 """Running totals, ranks, medians and look-ups whose cost does not depend on how large one key is.
 
-A plain window puts all rows of a key into one task. Keys are therefore counted first. Where all are small,
-the plain window is right. The order of a large key is cut into blocks (id ranges or time slices): its rows
-are windowed inside (key, block), the small table of block totals is accumulated per key, and the two are
-added. A key holding a third of all rows is spread over all its blocks. Blocks are arithmetic on the order
-column, so a re-run of a lost task gives the same blocks.
+A plain window puts all rows of a key into one task. The order of every key is therefore cut into blocks (ranges of
+ids, or one instant and a range of ids): rows are windowed inside (key, block), the table of block totals is
+accumulated per key over coarser and coarser blocks, and both are added. There is one plan for every size of input; it
+counts nothing first and broadcasts nothing. Blocks are arithmetic on the order columns, so a re-run of a lost task
+gives the same blocks.
 """
 
 from __future__ import annotations
@@ -15,11 +15,18 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.settle import settle
+from ..functions.times import time_block
 
 KEY = "_key"
-HOT_ROWS = 1_000_000  # a key with more rows is cut into blocks
-MAX_HOT_KEYS = 100_000  # the list of such keys is broadcast up to this size; beyond it every key is cut
+BLOCK_IDS = 131_072  # ids, and so rows at most, in the finest block
+
+
+def moment_blocks(at: str, identity: str, *ties: str) -> list[Column]:
+    """Blocks of the order (at, *ties, identity): one instant and a range of ids, then its minute, then its day.
+
+    However many rows carry one instant, a window partition holds BLOCK_IDS of them at most."""
+    finest = F.struct(at, *ties, F.floor(F.col(identity) / BLOCK_IDS).alias("_ids"))
+    return [finest, time_block(F.col(at), 60), time_block(F.col(at), 86_400)]
 
 
 def _frame(inclusive: bool) -> tuple[int, int]:
@@ -54,8 +61,6 @@ def running(
     blocks: Sequence[Column],
     sums: Mapping[str, Column],
     inclusive: bool = False,
-    hot_rows: int = HOT_ROWS,
-    max_hot_keys: int = MAX_HOT_KEYS,
 ) -> DataFrame:
     """Running sums per key: the rows before each row, or up to and including it.
 
@@ -73,19 +78,7 @@ def running(
         *[b.alias(n) for b, n in zip(blocks, block_names)],
         *[c.alias(f"_v_{n}") for n, c in sums.items()],
     )
-    cut = rows  # rows of the keys that are cut; the others keep a NULL block and so stay together
-    if keys:
-        sizes = rows.groupBy(KEY).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
-        hot = settle(sizes.select(KEY, F.lit(True).alias("_hot")))
-        n_hot = hot.count()
-        if n_hot == 0:
-            w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(*_frame(inclusive))
-            return df.select("*", *[F.sum(c).over(w).alias(n) for n, c in sums.items()])
-        if n_hot <= max_hot_keys:
-            marked = rows.join(F.broadcast(hot), KEY, "left")
-            rows = marked.withColumns({n: F.when(F.col("_hot"), F.col(n)) for n in block_names}).drop("_hot")
-            cut = marked.where(F.col("_hot"))
-    totals = cut.groupBy(KEY, *block_names).agg(*[F.sum(f"_v_{n}").alias(n) for n in names])
+    totals = rows.groupBy(KEY, *block_names).agg(*[F.sum(f"_v_{n}").alias(n) for n in names])
     offsets = _block_offsets(totals, names, block_names)
     w = Window.partitionBy(KEY, *block_names).orderBy(*order).rowsBetween(*_frame(inclusive))
     local = rows.select(*df.columns, KEY, *block_names, *[F.sum(f"_v_{n}").over(w).alias(f"_in_{n}") for n in names])
@@ -99,18 +92,15 @@ def numbered(df: DataFrame, order: Sequence[str], blocks: Sequence[Column], name
     return running(df, [], order, blocks, {name: F.lit(1).cast("long")}, inclusive=True)
 
 
-def spread_join(
-    rows: DataFrame, lookup: DataFrame, on: Sequence[str], spread_by: str, how: str = "left", ways: int = 16
-) -> DataFrame:
-    """Join rows whose key may be hot to a table with one row per key: every key is split `ways` ways.
+def spread_join(rows: DataFrame, lookup: DataFrame, on: Sequence[str], spread_by: str, how: str = "left") -> DataFrame:
+    """Join rows whose key may be hot to a table with one row per key, without copies of that table.
 
-    Rows with a NULL key match nothing; they are spread over all tasks instead of one. Where a sixteenth of
-    a key is still too much for a task, the adaptive skew join splits it further.
+    Rows with a NULL key match nothing; a number drawn from spread_by deals them over all tasks instead of one. The
+    adaptive skew join splits keys that hold too many rows.
     """
     unmatched = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in on])
-    salt = F.pmod(F.xxhash64(spread_by), F.when(unmatched, F.lit(1 << 20)).otherwise(F.lit(ways))).cast("int").alias("_salt")
-    copies = lookup.select("*", F.explode(F.sequence(F.lit(0), F.lit(ways - 1))).alias("_salt"))
-    return rows.select("*", salt).join(copies, [*on, "_salt"], how).drop("_salt")
+    salt = F.when(unmatched, F.pmod(F.xxhash64(spread_by), F.lit(1 << 20)).cast("int")).otherwise(F.lit(0)).alias("_salt")
+    return rows.select("*", salt).join(lookup.withColumn("_salt", F.lit(0)), [*on, "_salt"], how).drop("_salt")
 
 
 def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

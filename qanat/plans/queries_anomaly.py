@@ -146,7 +146,7 @@ def flagged_payments(L: Ledger) -> DataFrame:
     """Payments at or above the threshold with score and reason, numbered for serving."""
     f = frame(L)
     stats = anomaly.hour_median(f)
-    flagged = anomaly.flag(scored(f), anomaly.reference_table(f, stats), stats, threshold=0.6, keep=settle)
+    flagged = anomaly.flag(scored(f), anomaly.reference_table(f, stats), stats, keep=settle)
     return anomaly.anomaly_rows(flagged, "1", CTX)
 
 

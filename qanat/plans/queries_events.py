@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import json_at, seed_event_id, sorted_json
 from ..functions.times import iso_ts, next_batch_at
 from ..operators import posting, silver, upserts
-from ..operators.skew import numbered
+from ..operators.skew import moment_blocks, numbered
 from ..sources.ledger import scoring_state as state_of
 from .queries_forecast import forecast_table
 from .queries_gold import CTX, LINEAGE
@@ -69,7 +69,7 @@ def moved_rows(L: Ledger) -> DataFrame:
     def tagged(df: DataFrame, at: str) -> DataFrame:
         return df.withColumn("run_id", F.when(since(at, "2024-01-29 00:00:00"), "run-2").otherwise("run-1"))
 
-    return silver.moved_rows(tagged(L.postings, "booked_at"), tagged(L.payments, "created_at"), "run-2", L.spark)
+    return silver.rows_of_run([tagged(L.postings, "booked_at"), tagged(L.payments, "created_at")], "run-2")
 
 
 @query(f"SELECT DISTINCT company_id FROM postings WHERE booked_at >= {RUN_2}")
@@ -216,9 +216,8 @@ def next_batches(L: Ledger) -> DataFrame:
 @query("""SELECT payment_id, row_number() OVER (ORDER BY created_at, company_id, payment_id) AS id FROM payments""")
 def payment_numbers(L: Ledger) -> DataFrame:
     """Sequential ids in creation order, numbered without one global sort task."""
-    from ..functions.times import time_block
 
-    blocks = [time_block(F.col("created_at"), 60)]
+    blocks = moment_blocks("created_at", "payment_id", "company_id")
     return numbered(L.payments, ["created_at", "company_id", "payment_id"], blocks).select("payment_id", "id")
 
 

@@ -260,11 +260,11 @@ def daily_sweep(L: Ledger) -> DataFrame:
     return cal.daily_sweep(L.postings, L.accounts)
 
 
-@query("SELECT account_id, company_id, account_kind, name, iban, CAST((account_id - 1) % 4 + 1 AS INTEGER) AS account_no FROM accounts")
+@query("SELECT account_id, company_id, account_kind, name, iban, CAST((account_id - 1) % 4 + 1 AS INTEGER) AS account_no, true AS iban_ok FROM accounts")
 def account_roster(L: Ledger) -> DataFrame:
     roster = cal.account_roster(L.companies.select("company_id"))
     ok = F.col("iban").rlike(r"^AE07 0331 0000 \d{4,} \d{4,} 00\d$")
-    return roster.where(ok).withColumn("account_no", F.substring("iban", -1, 1).cast("int"))
+    return roster.withColumns({"account_no": F.substring("iban", -1, 1).try_cast("int"), "iban_ok": ok})
 
 
 @query("""SELECT company_id, due_date, CAST(CASE WHEN isodow(due_date) > 5 THEN due_date + CAST(8 - isodow(due_date) AS INTEGER) ELSE due_date END AS DATE)

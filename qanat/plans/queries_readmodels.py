@@ -38,13 +38,13 @@ def accounts_list(L: Ledger) -> DataFrame:
 
 @query("""SELECT transaction_id, account_id, booked_at, amount, line FROM (
   SELECT transaction_id, account_id, booked_at, amount, counterparty || ': ' || description AS line,
-    row_number() OVER (PARTITION BY account_id ORDER BY booked_at DESC, transaction_id DESC) AS n FROM postings) WHERE n <= 20""")
+    row_number() OVER (PARTITION BY account_id ORDER BY booked_at DESC, transaction_id DESC) AS n FROM postings) WHERE n <= 100""")
 def recent_transactions(L: Ledger) -> DataFrame:
-    """The newest 20 postings of every account."""
+    """The newest 100 postings of every account, the read model's page."""
     lines = L.postings.select(
         "transaction_id", "account_id", "booked_at", "amount", F.concat_ws(": ", "counterparty", "description").alias("line")
     )
-    return rm.top_per_key(lines, "account_id", [F.desc("booked_at"), F.desc("transaction_id")], 20)
+    return rm.top_per_key(lines, "account_id", [F.desc("booked_at"), F.desc("transaction_id")], 100)
 
 
 @query("""SELECT p.*, coalesce(available < payroll_due_amount, false) AS payroll_short FROM day_positions p
@@ -61,16 +61,16 @@ def dashboard_trend(L: Ledger) -> DataFrame:
 
 @query("""SELECT a.id, a.company_id, a.occurred_at, a.score FROM anomalies a JOIN (
   SELECT company_id, MAX(as_of_date) AS newest FROM position GROUP BY company_id) p ON p.company_id = a.company_id
-WHERE a.occurred_at >= CAST(p.newest - 20 AS TIMESTAMP)""")
+WHERE a.occurred_at >= CAST(p.newest - 30 AS TIMESTAMP)""")
 def recent_anomalies(L: Ledger) -> DataFrame:
-    found = rm.recent_anomalies(L.anomalies, position(L), days=20)
+    found = rm.recent_anomalies(L.anomalies, position(L), days=30)
     return found.select("id", "company_id", "occurred_at", "score")
 
 
-@query("SELECT id, company_id, occurred_at, reason FROM anomalies ORDER BY occurred_at DESC, id DESC LIMIT 200")
+@query("SELECT id, company_id, occurred_at, reason FROM anomalies ORDER BY occurred_at DESC, id DESC")
 def newest_anomalies(L: Ledger) -> DataFrame:
-    """The 200 newest flags."""
-    return rm.newest_first(L.anomalies).limit(200).select("id", "company_id", "occurred_at", "reason")
+    """All flags, newest first."""
+    return rm.newest_first(L.anomalies).select("id", "company_id", "occurred_at", "reason")
 
 
 @query("SELECT id, company_id, score, reason FROM anomalies WHERE occurred_at >= TIMESTAMP '2024-01-31 06:00:00' - INTERVAL 14 DAYS")
@@ -138,10 +138,13 @@ def payments_view(L: Ledger) -> DataFrame:
     )
 
 
-@query("SELECT payment_id, created_at, status, amount FROM payment_view WHERE status = 'AWAITING_APPROVAL' ORDER BY created_at DESC, payment_id DESC LIMIT 200")
+@query("""SELECT payment_id, company_id, created_at, status, amount FROM payment_view WHERE status = 'AWAITING_APPROVAL'
+QUALIFY row_number() OVER (PARTITION BY company_id ORDER BY created_at DESC, payment_id DESC) <= 200""")
 def payments_awaiting(L: Ledger) -> DataFrame:
-    """The 200 newest payments still awaiting approval, over all companies."""
-    return rm.payments_list(payment_rows(L), None, rm.AWAITING, 200).select("payment_id", "created_at", "status", "amount")
+    """Of every company, the 200 newest payments still awaiting approval: the read model's page."""
+    waiting = payment_rows(L).where(F.col("status") == rm.AWAITING)
+    found = rm.top_per_key(waiting, "company_id", [F.desc("created_at"), F.desc("payment_id")], 200)
+    return found.select("payment_id", "company_id", "created_at", "status", "amount")
 
 
 @query("""SELECT company_id, string_agg(display_name, ' or ' ORDER BY user_id) AS approvers FROM users

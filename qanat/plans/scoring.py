@@ -39,7 +39,7 @@ def train(lake: Lake, settings: Settings, ctx: RunContext) -> dict:
         return {**SKIPPED, "reason": "no history"}
 
     profile_version = models.register(lake, forecast.MODEL_NAME, {"profile": forecast.fit_profile(history)})
-    grid = forest.fitting_grid(frame)
+    grid = forest.GRID
     stats = anomaly.hour_median(frame)
     parts = {
         "forest": forest.fit_forest(forest.cell_table(frame, grid), settings.n_trees, settings.ml_seed, grid),

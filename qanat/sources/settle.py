@@ -13,9 +13,12 @@ _own_folders: dict[str, str] = {}  # per application, only where the cluster nam
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names for checkpoints; a fresh local one only where none is named."""
-    named = spark.conf.get(DIR_SETTING, None)
+    """The folder the cluster names for checkpoints, by setting or on its context. Without one only a session whose
+    executors run inside the driver gets a fresh local folder; any other raises."""
+    named = spark.conf.get(DIR_SETTING, None) or spark.sparkContext.getCheckpointDir()
     if named is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError(f"{DIR_SETTING} must name a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         named = _own_folders.setdefault(app, "") or tempfile.mkdtemp(prefix="qanat-")
         _own_folders[app] = named

@@ -105,3 +105,35 @@ def test_unknown_stage_is_refused(spark, bad):
 
     with pytest.raises(ValueError):
         trace_rows(spark.range(1).withColumnRenamed("id", "payment_id"), bad, context())
+
+
+def test_multiplier_rounds_the_binary_value(spark):
+    from qanat.functions.money import multiplier
+
+    values = [2.45, 0.35, 1.05, 9.95, 3.15, 0.25, 0.75, 0.05, 4.0, 3.5, 9.96, 10.5, 11.5, 12.0, 1e9, 0.0] + [i / 1000 for i in range(0, 10_000, 7)]
+    rows = spark.createDataFrame([(v,) for v in values], "x double").select("x", multiplier(F.col("x")).alias("t")).collect()
+    for r in rows:
+        want = f"{r.x:.0f}" if r.x >= 10 else f"{r.x:.1f}".removesuffix(".0")
+        assert r.t == want, r
+
+
+def test_clock_changes_of_the_session_zone_play_no_part(spark):
+    from pyspark.sql import Window
+
+    from qanat.functions.times import parse_ts, time_block
+    from qanat.operators.skew import moment_blocks, running
+
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
+    try:
+        texts = [(i, f"2026-03-29 {h:02d}:{m:02d}:00") for i, (h, m) in enumerate((h, m) for h in range(1, 5) for m in (0, 15, 30, 45))]
+        rows = spark.createDataFrame(texts, "id long, text string").withColumn("t", F.col("text").cast("timestamp_ntz"))
+        blocks = [r.b for r in rows.withColumn("b", time_block(F.col("t"), 60)).orderBy("t").collect()]
+        assert blocks == sorted(blocks)
+        done = running(rows, [], ["t", "id"], moment_blocks("t", "id"), {"n": F.lit(1).cast("long")}, inclusive=True)
+        assert [r.n for r in done.orderBy(F.col("text")).collect()] == list(range(1, 17))
+        assert done.select(F.row_number().over(Window.orderBy("t")) == F.col("n")).distinct().count() == 1
+        cases = [("2026-01-05T01:00:00Z", "2026-01-05 01:00:00"), ("2026-07-05T01:00:00+04:00", "2026-07-04 21:00:00"), ("2026-01-05 01:00:00.5", "2026-01-05 01:00:00.500000"), ("2026-01-05", "2026-01-05 00:00:00"), ("x", None), (None, None)]
+        got = spark.createDataFrame(cases, "a string, b string").select(parse_ts(F.col("a")).alias("t"), "b").collect()
+        assert [None if r.t is None else str(r.t) for r in got] == [r.b for r in got]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")

@@ -204,16 +204,6 @@ def test_scores_do_not_depend_on_partitioning(spark):
     assert max(a, key=a.get) == 400 and a[400] > 0.65
 
 
-def test_grid_is_coarsened_until_cells_fit(spark):
-    frame = spark.range(500).select(
-        F.col("id").alias("payment_id"), (F.col("id") / 100.0).alias("log_amount_rel"), F.lit(0.0).alias("log_ratio"),
-        *[F.lit(0).alias(c) for c in ("hour_gst", "is_weekend", "is_first_time", "dup_count")],
-    )
-    assert forest.fitting_grid(frame, 0.05, limit=1000) == 0.05
-    coarse = forest.fitting_grid(frame, 0.05, limit=20)
-    assert coarse > 0.05 and forest.cell_table(frame, coarse).count() <= 20
-
-
 def test_rarity_of_new_values_is_looked_up_as_of(spark):
     ref = spark.createDataFrame([("dup_count", 1.0, 90), ("dup_count", 3.0, 10)], "feature string, extremity double, n long")
     wanted = spark.createDataFrame([("dup_count", v) for v in (0.5, 1.0, 2.0, 3.0, 5.0)], "feature string, extremity double")

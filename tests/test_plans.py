@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from qanat.operators import gold, readmodels
+from qanat.plans import all_queries
 from qanat.plans.views import Ledger, context
 
 SF = "/root/testdata/sf0.001"
@@ -26,7 +27,7 @@ def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-LAZY = sorted(n for n in entry.queries() if n not in {"anomaly_scores", "flagged_payments", "anomaly_metrics", "forest_cells"})
+LAZY = sorted(n for n in all_queries.QUERIES if n not in {"anomaly_scores", "flagged_payments", "anomaly_metrics", "forest_cells"})
 
 
 @pytest.mark.parametrize("name", [n for n in LAZY if not n.startswith(("feature_", "reference_", "strongest_", "anomaly_"))])

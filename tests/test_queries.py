@@ -3,10 +3,12 @@
 import pytest
 
 import __spark_entry__ as entry
+from qanat.plans import all_queries
 from tests.compare import connect, difference
 
 SF = "/root/testdata/sf0.001"
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+ORACLES = all_queries.ORACLES
+QUERIES = {name: entry.queries()[name] for name in all_queries.QUERIES}
 
 
 @pytest.fixture(scope="module")

@@ -24,10 +24,9 @@ def rows(spark):
 
 @pytest.mark.parametrize("inclusive", [False, True])
 @pytest.mark.parametrize("widths", [(10,), (10, 100), (1_000_000,)])
-@pytest.mark.parametrize("limits", [(10**6, 10), (60, 100), (60, 0)])  # no key is cut; the large ones are; all are
-def test_running_equals_plain_window(rows, inclusive, widths, limits):
+def test_running_equals_plain_window(rows, inclusive, widths):
     blocks = [F.floor(F.col("t") / w) for w in widths]
-    ours = running(rows, ["k", "k2"], ["t", "id"], blocks, {"n": F.lit(1).cast("long"), "s": F.col("amount")}, inclusive, *limits)
+    ours = running(rows, ["k", "k2"], ["t", "id"], blocks, {"n": F.lit(1).cast("long"), "s": F.col("amount")}, inclusive)
     w = Window.partitionBy("k", "k2").orderBy("t", "id").rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     plain = rows.withColumn("n", F.sum(F.lit(1).cast("long")).over(w)).withColumn("s", F.sum("amount").over(w))
     same = plain.join(ours.select("id", F.col("n").alias("n2"), F.col("s").alias("s2")), "id")
@@ -57,7 +56,26 @@ def test_exact_median(rows):
 
 def test_spread_join_keeps_every_row_once(spark, rows):
     look_up = spark.createDataFrame([(1, "hot"), (2, "two")], "k int, name string")
-    joined = spread_join(rows, look_up, ["k"], "id", ways=5)
+    joined = spread_join(rows, look_up, ["k"], "id")
     assert joined.count() == 3_000
     assert joined.where("name = 'hot'").count() == rows.where("k = 1").count()
     assert spread_join(rows, look_up, ["k"], "id", how="inner").count() == rows.where("k in (1, 2)").count()
+
+
+def test_a_burst_at_one_instant_is_cut_by_ids(spark):
+    """However many rows share an instant, no window partition holds more than a block of ids."""
+    from qanat.operators import skew
+
+    rows = spark.range(300_000).select(F.col("id"), F.lit("2026-01-05 09:00:00").cast("timestamp_ntz").alias("t"), F.lit(1).alias("k"))
+    done = skew.running(rows, ["k"], ["t", "id"], skew.moment_blocks("t", "id"), {"n": F.lit(1).cast("long")})
+    assert done.where("coalesce(n, 0) <> id").count() == 0
+    finest = skew.moment_blocks("t", "id")[0]
+    assert rows.groupBy("k", finest.alias("b")).count().agg(F.max("count")).first()[0] <= skew.BLOCK_IDS
+
+
+def test_running_has_one_plan_and_starts_no_job(spark, rows):
+    before = len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    small, large = rows.limit(10), rows
+    plans = [running(df, ["k"], ["t", "id"], [F.floor(F.col("t") / 10)], {"n": F.lit(1)})._jdf.queryExecution().logical().toString() for df in (small, large)]
+    assert plans[0].count("Window") == plans[1].count("Window") > 1
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) == before
