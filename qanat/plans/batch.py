@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..context import RunContext, Settings, utcnow
+from ..context import RunContext, Settings, clock
 from ..functions.times import ts_lit
 from ..operators import gold as g
 from ..operators import posting, serving, silver
@@ -142,7 +142,7 @@ def run_serving(job: Job, ctx: RunContext) -> dict:
             today = lake.read("serving", "cash_position").where(F.col("as_of_date") == ctx.as_of)
             refreshed = today.join(ids.select("company_id").distinct(), "company_id", "left_semi")
             _trace(job, ids, "serving", ctx)
-        finished = utcnow()
+        finished = clock()
         row = serving.run_row(job.spark, ctx, ts_lit(finished), new_events(lake, done), ids, refreshed)
         result = row.first()  # the one row of the run log
         lake.append(job.spark.createDataFrame([result], schemas.RUNS), "ops", "pipeline_runs")

@@ -181,10 +181,11 @@ def test_gold_of_moved_companies_equals_a_full_recompute(spark, tmp_path):
 
 
 def test_settings_from_text(spark):
-    from qanat.cli import parse, parse_time
+    from qanat.cli import parser, utc_moment
     from qanat.context import Settings
 
-    args, s = parse(["gold", "--run-id", "7", "AS_OF=2026-10-05", "ML_SEED=", "CADENCE_SECONDS=30", "SOURCE=kafka"])
-    assert (args.stage, args.run_id, s.as_of, s.ml_seed, s.cadence_seconds, s.source) == ("gold", "7", date(2026, 10, 5), 42, 30, "kafka")
-    assert str(parse_time("2026-10-05T08:00:00+04:00")) == str(parse_time("2026-10-05T04:00:00Z")) == "2026-10-05 04:00:00"
-    assert Settings(as_of=None).business_date(NOW.replace(hour=21)) == date(2026, 10, 6)  # Gulf midnight has passed
+    line = parser().parse_intermixed_args(["gold", "--run-id", "7", "AS_OF=2026-10-05", "ML_SEED=", "CADENCE_SECONDS=30", "SOURCE=kafka"])
+    s = Settings.read(dict(line.settings), {"SOURCE": "files", "N_TREES": "20"})
+    assert (line.stage, line.run_id, s.as_of, s.ml_seed, s.cadence_seconds, s.source, s.n_trees) == ("gold", "7", date(2026, 10, 5), 42, 30, "kafka", 20)
+    assert utc_moment("2026-10-05T08:00:00+04:00") == utc_moment("2026-10-05T04:00:00Z") == utc_moment("2026-10-05T04:00:00")
+    assert Settings(as_of=None).day(NOW.replace(hour=21)) == date(2026, 10, 6)  # Gulf midnight has passed
