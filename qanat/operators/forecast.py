@@ -12,7 +12,7 @@ from .skew import union_all
 MODEL_NAME = "cash_forecast"
 HORIZON_DAYS, PAYROLL_CYCLE_DAYS, HOLDOUT_DAYS = 30, 28, 28
 BAND = 0.80
-Z_BAND = 1.2815515655446004  # standard normal quantile 0.90: a two-sided 80 % band
+Z_BAND = 1.2815515655446004  # fixed value: a tenth of a normal distribution lies above it, so BAND of it between -Z and Z
 # Means keep eight decimals so that a month of them adds up exactly, in any order. Sums are cast
 # back before they meet such a mean: next to a decimal(38, x), it would lose decimals.
 FINE = "decimal(28,8)"

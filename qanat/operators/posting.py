@@ -45,20 +45,15 @@ def posting_legs(payments: DataFrame, accounts: DataFrame, beneficiaries: DataFr
     )
 
 
-def _ref(id_: Column, name: Column | None = None) -> Column:
-    """{id, name} of a party, NULL when there is none; the name is left out when unknown."""
-    fields = [id_.alias("id")] + ([name.alias("name")] if name is not None else [])
-    return F.when(id_.isNotNull(), F.struct(*fields))
-
-
 def _payment_payload(extra: dict[str, Column], with_names: bool) -> Column:
     """The payment object of an event, fields in alphabetical order."""
-    def party(column: str, name: str) -> Column:
-        return _ref(F.col(column), F.col(name) if with_names else None)
+    def party(column: str, name: str, named: bool = with_names) -> Column:
+        known = F.struct(F.col(column).alias("id"), *([F.col(name).alias("name")] if named else []))
+        return F.when(F.col(column).isNotNull(), known)
 
     fields = {
         "amount": money_text(F.col("amount")),
-        "beneficiary": _ref(F.col("beneficiary_id"), F.col("beneficiary_name")),
+        "beneficiary": party("beneficiary_id", "beneficiary_name", True),
         "created_at": iso_ts(F.col("created_at")),
         "created_by": party("created_by", "created_by_name"),
         "currency": F.col("currency"),

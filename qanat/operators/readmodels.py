@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.money import MONEY, fils, format_short_aed, money_text
+from ..functions.money import MONEY, chart_label, to_fils, money_text
 from ..functions.text import payment_reference, status_text
 from ..functions.times import iso_ts
 from .quality import scope
@@ -251,15 +251,15 @@ def lowest_day_label(forecast: DataFrame, positions: DataFrame) -> DataFrame:
     """The lowest day's label; the shortfall against the next payroll follows in brackets when there is one."""
     payroll = latest_position(positions).select("company_id", "payroll_due_amount")
     low = lowest_forecast_day(forecast).join(payroll, "company_id", "left")
-    predicted, wages = (fils(money_text(F.col(c))) for c in ("predicted_balance", "payroll_due_amount"))
+    predicted, wages = (to_fils(money_text(F.col(c))) for c in ("predicted_balance", "payroll_due_amount"))
     short = F.when(predicted < wages, predicted - wages)
-    label = F.concat(F.date_format("forecast_date", "EEE"), F.lit(": "), format_short_aed(predicted))
+    label = F.concat(F.date_format("forecast_date", "EEE"), F.lit(": "), chart_label(predicted))
     return low.select(
         "company_id",
         "forecast_date",
         "predicted_balance",
         (short / 100).cast(MONEY).alias("shortfall"),
-        F.when(short.isNotNull(), F.concat(label, F.lit(" ("), format_short_aed(short), F.lit(")")))
+        F.when(short.isNotNull(), F.concat(label, F.lit(" ("), chart_label(short), F.lit(")")))
         .otherwise(label)
         .alias("label"),
     )

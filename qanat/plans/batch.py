@@ -160,7 +160,7 @@ def run_batch(job: Job, run_id: str, now=None) -> dict:
     run_gold(job, ctx)
     try:
         scoring.score(job.lake, job.ledger, job.settings, ctx, moved=not moved(job, "serving").isEmpty())
-    except Exception:  # a scoring failure must not hold back the cash position
+    except Exception:  # positions are published even if no scores are
         log.exception("scoring failed; the published scores stay as they were")
     return run_serving(job, ctx)
 

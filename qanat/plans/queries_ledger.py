@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.money import (
-    fils,
-    format_aed,
-    format_short_aed,
-    format_signed_aed,
+    to_fils,
+    aed_text,
+    chart_label,
+    signed_aed_text,
     money,
     money_text,
     multiplier,
-    parse_amount_input,
+    typed_amount,
 )
 from ..functions.times import business_day, date_lit, next_payroll_thursday
 from ..operators import ledger_calendar as cal
@@ -186,10 +186,15 @@ def table_counts(L: Ledger) -> DataFrame:
     return quality.table_counts({t: getattr(L, t) for t in NAMED})
 
 
+def _digested(L: Ledger) -> dict[str, DataFrame]:
+    return {"accounts": L.accounts, "beneficiaries": L.beneficiaries, "companies": L.companies, "payments": L.payments,
+            "postings": L.postings, "scheduled": L.scheduled, "users": L.users}
+
+
 @query()
 def ledger_digest(L: Ledger) -> DataFrame:
-    """One digest of all postings, the same in any order and partitioning."""
-    return quality.digest(L.postings)
+    """One digest of every ledger table, the same in any order and partitioning."""
+    return union_all([quality.digest(t).select(F.lit(n).alias("table_name"), "n_rows", "digest") for n, t in _digested(L).items()])
 
 
 # ---------------------------------------------------------------- postings
@@ -319,10 +324,10 @@ def money_texts(L: Ledger) -> DataFrame:
     text = money_text(F.col("amount"))
     return L.postings.select(
         "transaction_id",
-        fils(text).cast("long").alias("fils"),
-        format_aed(text).alias("shown"),
-        format_signed_aed(text).alias("signed"),
-        format_short_aed(fils(text) * 1000).alias("short"),
+        to_fils(text).cast("long").alias("fils"),
+        aed_text(text).alias("shown"),
+        signed_aed_text(text).alias("signed"),
+        chart_label(to_fils(text) * 1000).alias("short"),
     )
 
 
@@ -345,7 +350,7 @@ def amount_inputs(L: Ledger) -> DataFrame:
         .when(e % 5 == 3, F.concat(F.lit("1,"), F.lpad((e % 1000).cast("string"), 3, "0")))
         .otherwise((e % 3).cast("string"))
     )
-    return L.raw("events").select("event_id", parse_amount_input(raw).alias("amount"))
+    return L.raw("events").select("event_id", typed_amount(raw).alias("amount"))
 
 
 @query("""SELECT o_orderkey, CAST(CAST(o_totalprice AS DECIMAL(18,2)) * CAST(0.125 AS DECIMAL(4,3)) AS DECIMAL(18,2)) AS rounded,

@@ -17,26 +17,26 @@ def column(spark, values, dtype, make):
 
 def test_aed_texts(spark):
     values = ["1900000.00", "-120000.00", "0.05", "90071992547409931.07", None, "12.5"]
-    assert column(spark, values, "string", m.format_aed) == [
+    assert column(spark, values, "string", m.aed_text) == [
         "AED 1,900,000", "−AED 120,000", "AED 0.05", "AED 90,071,992,547,409,931.07", "—", "AED 12.50",
     ]
-    assert column(spark, ["590000.00", "-225000.00"], "string", m.format_signed_aed) == ["+AED 590,000", "−AED 225,000"]
+    assert column(spark, ["590000.00", "-225000.00"], "string", m.signed_aed_text) == ["+AED 590,000", "−AED 225,000"]
 
 
 def test_fils_never_pass_a_float(spark):
-    assert column(spark, ["90071992547409931.07", "-1.5", "x", "1.234"], "string", m.fils) == [9007199254740993107, -150, None, None]
+    assert column(spark, ["90071992547409931.07", "-1.5", "x", "1.234"], "string", m.to_fils) == [9007199254740993107, -150, None, None]
 
 
 def test_short_aed(spark):
     values = [190_000_000, 45_000_000, 99_900, -12_000_000, 200_000_000, 99_995_000]
-    assert column(spark, values, "long", m.format_short_aed) == [
+    assert column(spark, values, "long", m.chart_label) == [
         "AED 1.9m", "AED 450k", "AED 999", "−AED 120k", "AED 2m", "AED 1000k",
     ]
 
 
 def test_amount_input(spark):
     values = ["450,000", "AED 450000.5", "aed 1", "0", "-3", "1.234", "12a", " 7 "]
-    assert column(spark, values, "string", m.parse_amount_input) == ["450000.00", "450000.50", "1.00", None, None, None, None, "7.00"]
+    assert column(spark, values, "string", m.typed_amount) == ["450000.00", "450000.50", "1.00", None, None, None, None, "7.00"]
 
 
 def test_multiplier(spark):
