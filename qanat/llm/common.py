@@ -3,26 +3,39 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows with their lineage cut by a checkpoint in the folder that the cluster shares.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's spark.checkpoint.dir, or the context's checkpoint folder.
 
-    The folder is the session's spark.checkpoint.dir. Only a local session without one gets a folder of its own."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = context.getConf().get("spark.checkpoint.dir")
-        if shared is None and not context.master.startswith("local["):
+    Only a local session without either gets a folder of its own."""
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if folder is None:
+        if not context.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="qanat-llm-"))
-    return df.checkpoint()
+        folder = tempfile.mkdtemp(prefix="qanat-llm-")
+        context.setCheckpointDir(folder)
+    return folder
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows with their lineage cut: a table written to the shared folder and read again.
+
+    A table rather than checkpoint(): it is compressed, and the plans of iterations stay small, since no constraints
+    are carried on. Its files may go when the application has ended, as those of checkpoints."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/qanat-llm-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -40,7 +53,6 @@ def components(edges: DataFrame) -> DataFrame:
     while not edges.isEmpty():
         both = edges.union(edges.select("b", "a"))
         up = both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("n")).select("v", F.least("v", "n").alias("p"))
-        up = cut(up)
         further = up.select(F.col("v").alias("p"), F.col("p").alias("pp"))
         up = cut(up.join(further, "p", "left").select("v", F.coalesce("pp", "p").alias("p")))
         first = up.select(F.col("v").alias("a"), F.col("p").alias("pa"))

@@ -11,10 +11,11 @@ A class lies in the cell of each of these shingles; cells with one class go. A c
 BLOCK rows, each pair of blocks is a task's group, and R-trees (one leaf, for small cells) give the pairs whose bound
 reaches the threshold.
 
-Dense cells would give all pairs of a group of near copies, so there are two rounds. The first verifies, of each cell,
-a spanning forest of the pairs with the highest bounds. The second verifies every remaining pair whose classes
-are not yet connected: nothing is left out, and what is skipped could not change a component. Verification counts the
-overlap of the whole sets in integers.
+Dense cells would give all pairs of a group of near copies, so there are two rounds. The first takes, of each cell, a
+spanning forest of the pairs with the highest bounds; the second every remaining pair whose classes are not yet
+connected. Inside a round every component first tries its best pair, twice; then all pairs that are still between two
+components are tried: nothing is left out, and what is skipped could not change a component. Verification counts
+the overlap of the whole sets in integers.
 
 Null and empty texts have empty sets and link with nothing; a text of fewer words is one shingle. Rows repeat as in the
 input; rows with a null key take part but never name a component. Empty tables give empty results."""
@@ -25,6 +26,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +37,7 @@ GROUPS = 128
 SKETCH_BITS, SEGMENTS = 20, 64
 BLOCK = 1_024
 LEAF, FAN = 64, 16
+BEST_ROUNDS = 2
 PAIRS = 100_000  # that numpy looks at in one step
 
 
@@ -159,18 +162,18 @@ def spanning(m: int, a: np.ndarray, b: np.ndarray, score: np.ndarray) -> np.ndar
 
 
 def cell_pairs(group: np.ndarray, block: np.ndarray, mixed: np.ndarray, v: np.ndarray, n: np.ndarray, part: np.ndarray, percent: int, forest_only: bool):
-    """(a, b) positions of candidate pairs in groups (runs of equal numbers): different parts, and if mixed, different blocks."""
+    """(a, b, bound) of candidate pairs of positions in groups (runs of equal numbers): different parts, and if mixed, different blocks."""
     heads = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
     sizes = np.diff(np.append(heads, len(group)))
-    out = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+    out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
 
     def keep(a, b):
         ok = (part[a] != part[b]) & (~mixed[a] | (block[a] != block[b]))
         a, b, score = bounded(v, n, a[ok], b[ok], percent)
         if forest_only and len(a):
             which = spanning(len(v), a, b, score)  # parts of different groups never touch: an edge stays inside its group
-            a, b = a[which], b[which]
-        out.append((a, b))
+            a, b, score = a[which], b[which], score[which]
+        out.append((a, b, score))
 
     for size in np.unique(sizes):
         here = heads[sizes == size]
@@ -243,9 +246,11 @@ def _cells(docs: DataFrame, text: str, words: int, rank: np.ndarray, percent: in
                     of.append(np.full(len(tokens[-1]), d, np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).astype(np.int64)), pa.array(np.concatenate(of))], ["token", "d"])
 
-    rows = docs.select(text).mapInArrow(run, "token long, d long")
+    rows = docs.select(text).mapInArrow(run, "token long, d long").persist(StorageLevel.DISK_ONLY)  # read twice
     held = rows.groupBy("token").agg(F.min("d").alias("low"), F.max("d").alias("high"), F.count("*").alias("size"))
-    return cut(rows.join(held.where("low <> high").select("token", "size"), "token"))
+    found = cut(rows.join(held.where("low <> high").select("token", "size"), "token"))
+    rows.unpersist()
+    return found
 
 
 def _candidates(cells: DataFrame, classes: DataFrame, percent: int, forest_only: bool) -> DataFrame:
@@ -258,27 +263,25 @@ def _candidates(cells: DataFrame, classes: DataFrame, percent: int, forest_only:
     rows = rows.repartition(int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys, "d")
 
     def run(batches):
-        done: set[tuple[int, int]] = set()
         for table in whole_groups(batches, keys):
             token, x, y, own, d, n, part = (table.column(c).to_numpy() for c in (*keys, "own", "d", "n", "part"))
             new = np.concatenate([[True], (token[1:] != token[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
             once = new | np.concatenate([[True], d[1:] != d[:-1]])
             group = np.cumsum(new)[once]
             v = points(table.column("point").filter(pa.array(once)).to_pylist())
-            a, b = cell_pairs(group, own[once], (x != y)[once], v, n[once], part[once], percent, forest_only)
+            a, b, score = cell_pairs(group, own[once], (x != y)[once], v, n[once], part[once], percent, forest_only)
             a, b = d[once][a], d[once][b]
-            found = {*zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True)} - done
-            if len(done) < 1_000_000:  # fewer repeats to shuffle; distinct() below decides
-                done |= found
-            if found:
-                left, right = zip(*found, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
+            low, high = np.minimum(a, b), np.maximum(a, b)
+            order = np.lexsort([high, low])
+            low, high, score = low[order], high[order], score[order]
+            first = np.concatenate([[True], (low[1:] != low[:-1]) | (high[1:] != high[:-1])])[: len(low)]
+            yield pa.RecordBatch.from_arrays([pa.array(low[first]), pa.array(high[first]), pa.array(score[first])], ["a", "b", "score"])
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    return rows.mapInArrow(run, "a long, b long, score double").groupBy("a", "b").agg(F.max("score").alias("score"))
 
 
-def _verified(docs: DataFrame, text: str, words: int, pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose sets are similar enough, by the overlap of the whole sets."""
+def _sets(docs: DataFrame, text: str, words: int, pairs: DataFrame) -> DataFrame:
+    """(d, items): the whole sets of the classes that occur in pairs."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("d")).distinct()
 
     def sketched(batches):
@@ -299,21 +302,54 @@ def _verified(docs: DataFrame, text: str, words: int, pairs: DataFrame, percent:
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(raws, pa.binary())], ["d", "items"])
 
     own = docs.select(text).mapInArrow(whole, "d long, items binary").groupBy("d").agg(F.first("items").alias("items"))
-    sides = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("d")).join(own, "d").select("a", "b", "items")
-    sides = sides.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a", "b").sortWithinPartitions("a", "b")
+    return cut(own.join(wanted, "d", "left_semi"))
+
+
+def _verified(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose sets are similar enough, by the overlap of the whole sets."""
+    right = pairs.select("a", "b").join(whole.select(F.col("d").alias("b"), F.col("items").alias("theirs")), "b")
+    sides = right.join(whole.select(F.col("d").alias("a"), F.col("items").alias("ours")), "a").select("a", "b", "ours", "theirs")
 
     def run(batches):
-        for table in whole_groups(batches, ["a", "b"], 2_000):
-            a, b, items = table.column("a").to_numpy(), table.column("b").to_numpy(), table.column("items").to_pylist()
+        for batch in batches:
             kept = []
-            for i in range(0, len(a), 2):
-                s, t = np.frombuffer(items[i], np.uint64), np.frombuffer(items[i + 1], np.uint64)
+            for ours, theirs in zip(batch.column("ours"), batch.column("theirs"), strict=True):
+                s, t = np.frombuffer(ours.as_buffer(), np.uint64), np.frombuffer(theirs.as_buffer(), np.uint64)
                 o = len(np.intersect1d(s, t, assume_unique=True))
-                if 100 * o >= percent * (len(s) + len(t) - o):
-                    kept.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array(a[kept]), pa.array(b[kept])], ["a", "b"])
+                kept.append(100 * o >= percent * (len(s) + len(t) - o))
+            yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
+
+    return cut(sides.mapInArrow(run, "a long, b long"))
+
+
+def _parts(links: DataFrame) -> DataFrame:
+    return components(links).select(F.col("v").alias("d"), F.col("component").alias("part"))
+
+
+def _open(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """The pairs between different parts, with the parts as pa and pb."""
+    sides = pairs.join(parts.select(F.col("d").alias("a"), F.col("part").alias("pa")), "a", "left")
+    sides = sides.join(parts.select(F.col("d").alias("b"), F.col("part").alias("pb")), "b", "left")
+    sides = sides.withColumns({"pa": F.coalesce("pa", "a"), "pb": F.coalesce("pb", "b")})
+    return sides.where("pa <> pb")
+
+
+def _linked(pairs: DataFrame, whole: DataFrame, links: DataFrame, percent: int) -> DataFrame:
+    """links and more of the pairs (a, b, score), so that no pair that is similar enough is left between two components.
 
-    return sides.mapInArrow(run, "a long, b long")
+    BEST_ROUNDS times every component tries its best pair; then all pairs that are still between components are tried."""
+    for last in (*[False] * BEST_ROUNDS, True):
+        tried = _open(pairs, _parts(links))
+        if not last:
+            best = F.max(F.struct("score", "a", "b")).alias("best")
+            tried = tried.select(F.explode(F.array("pa", "pb")).alias("part"), "score", "a", "b").groupBy("part").agg(best)
+            tried = tried.select("best.a", "best.b").distinct()
+        tried = cut(tried.select("a", "b"))
+        if tried.isEmpty():
+            break
+        links = cut(links.union(_verified(tried, whole, percent)))
+        pairs = pairs.join(tried, ["a", "b"], "left_anti")
+    return links
 
 
 def near_duplicates(df: DataFrame, words: int, percent: int, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -328,15 +364,15 @@ def near_duplicates(df: DataFrame, words: int, percent: int, key: str = "doc_id"
     cells = _cells(docs, "text", words, rank, percent)
     inside = classes.select("d", "n", "point").join(cells.select("d").distinct(), "d", "left_semi")
     first = cut(_candidates(cells, inside.withColumn("part", F.col("d")), percent, True))
-    links = cut(_verified(docs, "text", words, first, percent))
-    parts = components(links).select(F.col("v").alias("d"), F.col("component").alias("part"))
+    whole = _sets(docs, "text", words, first)
+    links = _linked(first, whole, first.select("a", "b").limit(0), percent)
+    parts = _parts(links)
     second = inside.join(parts, "d", "left").withColumn("part", F.coalesce("part", "d"))
     second = cut(_candidates(cells, second, percent, False).join(first, ["a", "b"], "left_anti"))
     if not second.isEmpty():
-        more = _verified(docs, "text", words, second, percent)
-        parts = components(links.union(more)).select(F.col("v").alias("d"), F.col("component").alias("part"))
-    whole = classes.select("d", "rep").join(parts, "d", "left").withColumn("part", F.coalesce("part", "d"))
-    names = whole.groupBy("part").agg(F.min("rep").alias("name"))
-    named = whole.join(names, "part").select("d", "name")
+        parts = _parts(_linked(second, whole, links, percent))
+    named = classes.select("d", "rep").join(parts, "d", "left").withColumn("part", F.coalesce("part", "d"))
+    names = named.groupBy("part").agg(F.min("rep").alias("name"))
+    named = named.join(names, "part").select("d", "name")
     out = rows.select("key", "n", "d").join(named, "d", "left")
     return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("name", "key").alias("component_id"))
