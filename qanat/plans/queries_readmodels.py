@@ -36,6 +36,12 @@ def accounts_list(L: Ledger) -> DataFrame:
     return rm.accounts_of(L.accounts, None)
 
 
+@query("SELECT account_id, company_id, account_kind, name, iban, reference_balance FROM accounts WHERE company_id = 1 AND account_id = 1")
+def account_by_id(L: Ledger) -> DataFrame:
+    """One account, as its own company sees it."""
+    return rm.account_by_id(L.accounts, 1, 1)
+
+
 @query("""SELECT transaction_id, account_id, booked_at, amount, line FROM (
   SELECT transaction_id, account_id, booked_at, amount, counterparty || ': ' || description AS line,
     row_number() OVER (PARTITION BY account_id ORDER BY booked_at DESC, transaction_id DESC) AS n FROM postings) WHERE n <= 100""")
