@@ -129,7 +129,9 @@ def scored(f: DataFrame) -> DataFrame:
     return forest.score(f, settle(forest.fit_forest(cells)), total)
 
 
-@query()
+@query("""SELECT CAST(round(log_amount_rel / 0.05) AS BIGINT) AS c_log_amount_rel, CAST(round(log_ratio / 0.05) AS BIGINT) AS c_log_ratio,
+  CAST(hour_gst AS BIGINT) AS c_hour_gst, CAST(is_weekend AS BIGINT) AS c_is_weekend, CAST(is_first_time AS BIGINT) AS c_is_first_time,
+  CAST(dup_count AS BIGINT) AS c_dup_count, COUNT(*) AS n FROM frame GROUP BY ALL""")
 def forest_cells(L: Ledger) -> DataFrame:
     """The weighted cells every tree is grown on."""
     return forest.cell_table(frame(L))
