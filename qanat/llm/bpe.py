@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-from .common import slices
+from .common import slices, small_batches
 
 LONG_CHARS = 32_768  # longer texts are cut; code points
 PIECE_CHARS = 16_384
@@ -135,7 +135,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", long_
     Texts of up to long_chars are encoded where they are. Longer ones become pieces that are dealt over the cluster,
     one for copies of the same text, encoded, gathered by text and joined as a tree; a group is one text."""
     fields = [f for f in df.schema.fields if f.name != ids]
-    df = df.select(*[f.name for f in fields])
+    df = small_batches(df.select(*[f.name for f in fields]))
     out = StructType([*fields, StructField(ids, ArrayType(IntegerType()))])
     short = df.where(F.coalesce(F.length(text), F.lit(0)) <= long_chars)
     short = short.mapInArrow(lambda batches: _encoded(batches, path, text, ids), out)

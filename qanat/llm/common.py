@@ -12,6 +12,8 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH_BYTES = 8_000_000
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's spark.checkpoint.dir, or the context's checkpoint folder.
@@ -27,6 +29,16 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """The same frame; its session passes BATCH_BYTES at most to Python at once, instead of Spark's 64 MB.
+
+    Long texts exist several times on the way (JVM, Arrow, strings), for every task of an executor."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) > BATCH_BYTES:
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows with their lineage cut: a table written to the shared folder and read again.
 
@@ -116,7 +128,7 @@ def whole_groups(batches: Iterable[pa.RecordBatch], keys: list[str], rows: int =
         yield pa.Table.from_batches(kept)
 
 
-def slices(batches: Iterable[pa.RecordBatch], column: str, most: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterable[pa.RecordBatch], column: str, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """The batches, cut so that a text column holds about so many bytes at most, or one row."""
     for batch in batches:
         if batch.num_rows == 0:
@@ -128,3 +140,4 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, most: int = 8_000_000
             end = max(start + 1, int(np.searchsorted(sizes, before + most, side="right")))
             yield batch.slice(start, end - start)
             start = end
+    pa.default_memory_pool().release_unused()  # workers live on

@@ -24,11 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import slices
+from .common import slices, small_batches
 
 PER_LANGUAGE = 1_500
 SEGMENT = 40
 SEQUENCE = 256
+STEP = 1_024  # sequences that numpy holds at once
 BITS = 16
 NONE = 1 << BITS
 MAX_WORD = 32
@@ -230,9 +231,8 @@ def predict(model: Model, texts: list[str]) -> tuple[list[str], np.ndarray]:
     heads = np.flatnonzero(place % SEQUENCE == 0)
     sizes = np.diff(np.concatenate([heads, [len(ids)]]))
     order = np.argsort(-sizes, kind="stable")
-    step = 4096
-    for i in range(0, len(order), step):
-        part = order[i : i + step]
+    for i in range(0, len(order), STEP):
+        part = order[i : i + STEP]
         size = sizes[part]
         there = np.arange(size[0]) < size[:, None]
         factor = np.ones((len(part), size[0], k), np.float32)
@@ -285,8 +285,8 @@ def label(df: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for batch in slices(batches, text, 4_000_000):
+        for batch in slices(batches, text, 2_000_000):
             names, scores = predict(model, batch.column(text).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores)], [*batch.schema.names, "lang_pred", "score"])
 
-    return df.select(*[f.name for f in fields]).mapInArrow(run, out)
+    return small_batches(df.select(*[f.name for f in fields])).mapInArrow(run, out)

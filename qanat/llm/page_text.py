@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from .common import small_batches
+
 # Elements of HTML by what they do to a text.
 RAW = {"script", "style", "textarea", "noscript", "template", "iframe", "svg", "math", "object"}
 FURNITURE = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "button", "select", "head", "title", *RAW}
@@ -152,7 +154,7 @@ def extract(df: DataFrame, url: str = "url", html: str = "html", out: str = "tex
     has, rest = F.col(url).contains("://"), F.expr(f"substring(`{url}`, instr(`{url}`, '://') + 3)")
     host = F.coalesce(F.when(has, F.lower(F.regexp_extract(rest, r"^[^/?#]*", 0))), F.lit(""))
     path = F.coalesce(F.when(has, F.regexp_extract(rest, r"(?s)^[^/?#]*([^?#]*)", 1)), F.lit(""))
-    df = df.select(*[f.name for f in fields]).withColumns({"__host": host, "__path": path, "__tie": F.xxhash64(html)})
+    df = small_batches(df.select(*[f.name for f in fields])).withColumns({"__host": host, "__path": path, "__tie": F.xxhash64(html)})
     tie = [F.col(f.name) for f in fields if isinstance(f.dataType, LongType)]
     parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ["__host", "__path", url, *tie, "__tie"]
