@@ -30,7 +30,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, slices, whole_groups
+from .common import components, cut, slices, small_batches, whole_groups
 from .shingles import mix, sets
 
 GROUPS = 128
@@ -38,7 +38,8 @@ SKETCH_BITS, SEGMENTS = 20, 64
 BLOCK = 1_024
 LEAF, FAN = 64, 16
 BEST_ROUNDS = 2
-PAIRS = 100_000  # that numpy looks at in one step
+FLUSH = 500_000  # pairs whose repeats a task drops at once
+PAIRS = 25_000  # that numpy looks at in one step
 
 
 def digest(s: np.ndarray) -> int:
@@ -115,8 +116,8 @@ def tree_pairs(v: np.ndarray, n: np.ndarray, percent: int) -> tuple[np.ndarray,
     order, levels = tree(v, n)
     sv, sn = v[order], n[order]
     out = [(np.empty(0, np.int64), np.empty(0, np.int64))]
-    for first in range(0, len(v), 512):
-        q = np.repeat(np.arange(first, min(first + 512, len(v))), len(levels[-1][0]))
+    for first in range(0, len(v), 256):
+        q = np.repeat(np.arange(first, min(first + 256, len(v))), len(levels[-1][0]))
         node = np.tile(np.arange(len(levels[-1][0])), len(q) // len(levels[-1][0]))
         for upper, low, high, heads in reversed(levels):
             least = np.maximum(low[node], -(-percent * sn[q] // 100))
@@ -185,7 +186,7 @@ def cell_pairs(group: np.ndarray, block: np.ndarray, mixed: np.ndarray, v: np.nd
                 keep(h + a, h + b)
             continue
         i, j = np.triu_indices(size, 1)
-        step = max(1, 4 * PAIRS // len(i))
+        step = max(1, 8 * PAIRS // len(i))
         for k in range(0, len(here), step):
             some = here[k : k + step, None]
             keep((some + i).ravel(), (some + j).ravel())
@@ -262,20 +263,35 @@ def _candidates(cells: DataFrame, classes: DataFrame, percent: int, forest_only:
     keys = ["token", "x", "y"]
     rows = rows.repartition(int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys, "d")
 
+    def pairs_of(table):
+        token, x, y, own, d, n, part = (table.column(c).to_numpy() for c in (*keys, "own", "d", "n", "part"))
+        new = np.concatenate([[True], (token[1:] != token[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
+        once = new | np.concatenate([[True], d[1:] != d[:-1]])
+        group = np.cumsum(new)[once]
+        v = points(table.column("point").filter(pa.array(once)).to_pylist())
+        a, b, score = cell_pairs(group, own[once], (x != y)[once], v, n[once], part[once], percent, forest_only)
+        a, b = d[once][a], d[once][b]
+        return np.minimum(a, b), np.maximum(a, b), score
+
     def run(batches):
-        for table in whole_groups(batches, keys):
-            token, x, y, own, d, n, part = (table.column(c).to_numpy() for c in (*keys, "own", "d", "n", "part"))
-            new = np.concatenate([[True], (token[1:] != token[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
-            once = new | np.concatenate([[True], d[1:] != d[:-1]])
-            group = np.cumsum(new)[once]
-            v = points(table.column("point").filter(pa.array(once)).to_pylist())
-            a, b, score = cell_pairs(group, own[once], (x != y)[once], v, n[once], part[once], percent, forest_only)
-            a, b = d[once][a], d[once][b]
-            low, high = np.minimum(a, b), np.maximum(a, b)
+        kept, size = [], 0
+
+        def flushed():  # near copies meet in many cells: a pair leaves once for so many rows
+            low, high, score = (np.concatenate(c) for c in zip(*kept, strict=True))
             order = np.lexsort([high, low])
             low, high, score = low[order], high[order], score[order]
             first = np.concatenate([[True], (low[1:] != low[:-1]) | (high[1:] != high[:-1])])[: len(low)]
-            yield pa.RecordBatch.from_arrays([pa.array(low[first]), pa.array(high[first]), pa.array(score[first])], ["a", "b", "score"])
+            kept.clear()
+            return pa.RecordBatch.from_arrays([pa.array(low[first]), pa.array(high[first]), pa.array(score[first])], ["a", "b", "score"])
+
+        for table in whole_groups(batches, keys):
+            kept.append(pairs_of(table))
+            size += len(kept[-1][0])
+            if size > FLUSH:
+                yield flushed()
+                size = 0
+        if kept:
+            yield flushed()
 
     return rows.mapInArrow(run, "a long, b long, score double").groupBy("a", "b").agg(F.max("score").alias("score"))
 
@@ -306,9 +322,9 @@ def _sets(docs: DataFrame, text: str, words: int, pairs: DataFrame) -> DataFrame
 
 
 def _verified(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose sets are similar enough, by the overlap of the whole sets."""
-    right = pairs.select("a", "b").join(whole.select(F.col("d").alias("b"), F.col("items").alias("theirs")), "b")
-    sides = right.join(whole.select(F.col("d").alias("a"), F.col("items").alias("ours")), "a").select("a", "b", "ours", "theirs")
+    """(pa, pb) of the pairs (a, b, pa, pb) whose sets are similar enough, by the overlap of the whole sets."""
+    right = pairs.join(whole.select(F.col("d").alias("b"), F.col("items").alias("theirs")), "b")
+    sides = right.join(whole.select(F.col("d").alias("a"), F.col("items").alias("ours")), "a").select("pa", "pb", "ours", "theirs")
 
     def run(batches):
         for batch in batches:
@@ -317,45 +333,36 @@ def _verified(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
                 s, t = np.frombuffer(ours.as_buffer(), np.uint64), np.frombuffer(theirs.as_buffer(), np.uint64)
                 o = len(np.intersect1d(s, t, assume_unique=True))
                 kept.append(100 * o >= percent * (len(s) + len(t) - o))
-            yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
-
-    return cut(sides.mapInArrow(run, "a long, b long"))
-
-
-def _parts(links: DataFrame) -> DataFrame:
-    return components(links).select(F.col("v").alias("d"), F.col("component").alias("part"))
-
+            yield batch.select(["pa", "pb"]).filter(pa.array(kept, pa.bool_()))
 
-def _open(pairs: DataFrame, parts: DataFrame) -> DataFrame:
-    """The pairs between different parts, with the parts as pa and pb."""
-    sides = pairs.join(parts.select(F.col("d").alias("a"), F.col("part").alias("pa")), "a", "left")
-    sides = sides.join(parts.select(F.col("d").alias("b"), F.col("part").alias("pb")), "b", "left")
-    sides = sides.withColumns({"pa": F.coalesce("pa", "a"), "pb": F.coalesce("pb", "b")})
-    return sides.where("pa <> pb")
+    return sides.mapInArrow(run, "pa long, pb long")
 
 
-def _linked(pairs: DataFrame, whole: DataFrame, links: DataFrame, percent: int) -> DataFrame:
-    """links and more of the pairs (a, b, score), so that no pair that is similar enough is left between two components.
+def _joined(parts: DataFrame, pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
+    """parts (d, part) after links among the pairs (a, b, score): no pair that is similar enough is left between two parts.
 
-    BEST_ROUNDS times every component tries its best pair; then all pairs that are still between components are tried."""
+    BEST_ROUNDS times every part tries its best pair; then all pairs that are still between parts are tried."""
+    sides = [parts.select(F.col("d").alias(c), F.col("part").alias(f"p{c}")) for c in ("a", "b")]
     for last in (*[False] * BEST_ROUNDS, True):
-        tried = _open(pairs, _parts(links))
+        tried = pairs.join(sides[0], "a").join(sides[1], "b").where("pa <> pb")
         if not last:
-            best = F.max(F.struct("score", "a", "b")).alias("best")
-            tried = tried.select(F.explode(F.array("pa", "pb")).alias("part"), "score", "a", "b").groupBy("part").agg(best)
-            tried = tried.select("best.a", "best.b").distinct()
-        tried = cut(tried.select("a", "b"))
+            best = F.max(F.struct("score", "a", "b", "pa", "pb")).alias("best")
+            tried = tried.withColumn("part", F.explode(F.array("pa", "pb"))).groupBy("part").agg(best).select("best.*").distinct()
+        tried = cut(tried.select("a", "b", "pa", "pb"))
         if tried.isEmpty():
             break
-        links = cut(links.union(_verified(tried, whole, percent)))
-        pairs = pairs.join(tried, ["a", "b"], "left_anti")
-    return links
+        links = _verified(tried, whole, percent).select(F.col("pa").alias("a"), F.col("pb").alias("b"))
+        merged = components(links).select(F.col("v").alias("part"), F.col("component").alias("into"))
+        parts = cut(parts.join(merged, "part", "left").select("d", F.coalesce("into", "part").alias("part")))
+        sides = [parts.select(F.col("d").alias(c), F.col("part").alias(f"p{c}")) for c in ("a", "b")]
+        pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
+    return parts
 
 
 def near_duplicates(df: DataFrame, words: int, percent: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_shingles, component_id) of every row: links are pairs of sets whose Jaccard similarity is percent / 100 or
     more, component_id is the smallest key that the row reaches by links, its own included."""
-    docs = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+    docs = small_batches(df).select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     described = _described(docs, "text", words)
     counts = _summed(described.where("segment is not null"))
     rank = np.maximum(0, np.floor(np.log2(np.maximum(counts, 1) / max(1.0, counts.mean())))).astype(np.int8)
@@ -365,12 +372,12 @@ def near_duplicates(df: DataFrame, words: int, percent: int, key: str = "doc_id"
     inside = classes.select("d", "n", "point").join(cells.select("d").distinct(), "d", "left_semi")
     first = cut(_candidates(cells, inside.withColumn("part", F.col("d")), percent, True))
     whole = _sets(docs, "text", words, first)
-    links = _linked(first, whole, first.select("a", "b").limit(0), percent)
-    parts = _parts(links)
+    parts = _joined(whole.select("d", F.col("d").alias("part")), first, whole, percent)
     second = inside.join(parts, "d", "left").withColumn("part", F.coalesce("part", "d"))
-    second = cut(_candidates(cells, second, percent, False).join(first, ["a", "b"], "left_anti"))
-    if not second.isEmpty():
-        parts = _parts(_linked(second, whole, links, percent))
+    held = cells.join(second.select("d", "part"), "d").groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high"))
+    mixed = cells.join(held.where("low <> high").select("token"), "token")  # the others are one component already
+    second = cut(_candidates(mixed, second, percent, False).join(first, ["a", "b"], "left_anti"))
+    parts = _joined(parts, second, whole, percent)
     named = classes.select("d", "rep").join(parts, "d", "left").withColumn("part", F.coalesce("part", "d"))
     names = named.groupBy("part").agg(F.min("rep").alias("name"))
     named = named.join(names, "part").select("d", "name")
