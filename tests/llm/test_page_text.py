@@ -83,3 +83,12 @@ def test_query_on_whole_pages(spark, sf):
         body = re.search("<article>(.*?)</article>", pages[r.page_id], re.S)[1]
         want = " ".join(html.unescape(re.sub("<[^>]+>", "", re.sub("</?(?:p|h1)>|<br>", " ", body))).split())
         assert (r.text, r.n_chars) == (want, len(want))
+
+
+def test_partners_do_not_depend_on_the_partitions(spark):
+    page = "<body><div>bar {}</div><p>own {}</p></body>"
+    rows = [(i, f"http://h{i // 20}/a/{i:03}", page.format(i // 20, i)) for i in range(100)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for parts in (1, 7, 60, 200):
+        found = P.extract(frame, parts=parts).collect()
+        assert {r.page_id: r.text for r in found} == {i: f"own {i}" for i in range(100)}
