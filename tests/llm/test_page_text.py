@@ -92,3 +92,12 @@ def test_partners_do_not_depend_on_the_partitions(spark):
     for parts in (1, 7, 60, 200):
         found = P.extract(frame, parts=parts).collect()
         assert {r.page_id: r.text for r in found} == {i: f"own {i}" for i in range(100)}
+
+
+def test_copies_are_no_partners(spark):
+    page = "<body><div>bar</div><p>own {}</p></body>"
+    rows = [(i, f"http://h/a?{i:03}", page.format(1)) for i in range(30)] + [(i, f"http://h/b?{i:03}", page.format(2)) for i in range(30, 60)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for parts in (1, 3, 40):
+        found = P.extract(frame, parts=parts).collect()
+        assert {r.page_id: r.text for r in found} == {i: f"own {1 + i // 30}" for i in range(60)}
