@@ -2,7 +2,7 @@
 
 Every tree sees every payment: features are laid on a grid, equal grid cells are folded into one row
 with a weight, and trees split cells. The table a task receives is the table of occupied cells, whose
-size nothing bounds or checks: it grows with the values that occur, more slowly than payments. Rare single rows
+size nothing bounds or checks: it grows with the distinct values that occur. Rare single rows
 (one duplicate, one night payment) keep a cell of their own. The model is a table of nodes.
 """
 
