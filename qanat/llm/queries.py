@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, graph_ann, jaccard_join, language_id, line_dedup, packing, page_text, pivot_join, secrets, url_filters
+from . import bpe, fill_middle, graph_ann, jaccard_join, language_id, line_dedup, packing, page_text, pivot_join, secrets, url_filters
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -116,5 +116,47 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_graph_ann, op2_language_id, op3_page_text, op4_bpe, op5_url_filters, op6_line_dedup, op7_jaccard_join, op8_pivot_join, op9_packing, op10_secrets)}
-ORACLES = {"op5_url_filters": OP5_SQL}
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return fill_middle.transform(docs, "doc_id", seed=42, rate=50, spm=80).select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        fill_middle.digest("output").alias("output_sha256"),
+        fill_middle.digest(fill_middle.restored("output", "form")).alias("restored_sha256"),
+    )
+
+
+OP12_SQL = r"""
+WITH cut AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+    regexp_extract_all(coalesce(text, ''), '[ 	-]*[^ 	-]+|[ 	-]+') AS units
+  FROM documents),
+drawn AS (
+  SELECT doc_id, text, units, CAST(len(units) AS BIGINT) AS n,
+    CAST('0x' || substr(h, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(h, 9, 8) AS BIGINT) AS h2,
+    CAST('0x' || substr(h, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(h, 25, 8) AS BIGINT) AS h4
+  FROM cut),
+chosen AS (
+  SELECT doc_id, text, units, n, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50 THEN 'plain'
+      WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM drawn),
+parts AS (
+  SELECT doc_id, text, n, form, array_to_string(units[1:a], '') AS p, array_to_string(units[a + 1:b], '') AS m,
+    array_to_string(units[b + 1:n], '') AS s
+  FROM chosen)
+SELECT doc_id, n, form,
+  CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+    ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(CASE WHEN form = 'plain' THEN text ELSE p || m || s END) AS restored_sha256
+FROM parts
+"""
+
+
+QUERIES = {f.__name__: f for f in (op1_graph_ann, op2_language_id, op3_page_text, op4_bpe, op5_url_filters, op6_line_dedup, op7_jaccard_join, op8_pivot_join, op9_packing, op10_secrets, op12_fill_middle)}
+ORACLES = {"op5_url_filters": OP5_SQL, "op12_fill_middle": OP12_SQL}
