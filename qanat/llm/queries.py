@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fill_middle, graph_ann, jaccard_join, language_id, line_dedup, packing, page_text, pivot_join, secrets, url_filters
+from . import bpe, fill_middle, fm_index, graph_ann, jaccard_join, language_id, line_dedup, packing, page_text, pivot_join, secrets, url_filters
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -132,7 +132,10 @@ def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP12_SQL = r"""
 WITH cut AS (
   SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
-    regexp_extract_all(coalesce(text, ''), '[ 	-]*[^ 	-]+|[ 	-]+') AS units
+    regexp_extract_all(coalesce(text, ''), '[ 	-
+]*[^ 	-
+]+|[ 	-
+]+') AS units
   FROM documents),
 drawn AS (
   SELECT doc_id, text, units, CAST(len(units) AS BIGINT) AS n,
@@ -158,5 +161,46 @@ FROM parts
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_graph_ann, op2_language_id, op3_page_text, op4_bpe, op5_url_filters, op6_line_dedup, op7_jaccard_join, op8_pivot_join, op9_packing, op10_secrets, op12_fill_middle)}
-ORACLES = {"op5_url_filters": OP5_SQL, "op12_fill_middle": OP12_SQL}
+def op13_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = fm_index.find(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    return found.select(
+        F.col("row.doc_id").alias("doc_id"),
+        "n_words",
+        fm_index.n_hit("spans").alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"),
+        (F.size("spans") > 0).alias("contaminated"),
+    )
+
+
+OP13_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS id, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+bench AS (
+  SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+phrases AS (
+  SELECT DISTINCT item, size, array_to_string(w[i:i + size - 1], ' ') AS phrase
+  FROM (SELECT item, w, least(10, len(w)) AS size, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM bench WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT size FROM phrases),
+windows AS (
+  SELECT id, size, i, array_to_string(w[i:i + size - 1], ' ') AS phrase
+  FROM (SELECT id, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM docs, sizes WHERE len(w) >= size)),
+found AS (
+  SELECT w.id, w.i, w.size, p.item FROM windows w JOIN phrases p ON w.size = p.size AND w.phrase = p.phrase),
+covered AS (
+  SELECT id, count(DISTINCT at) AS n FROM (SELECT id, unnest(range(i, i + size)) AS at FROM (SELECT DISTINCT id, i, size FROM found)) GROUP BY id),
+owners AS (
+  SELECT id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT id, item FROM found) GROUP BY id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(c.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(o.n, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(o.items, '')) AS items_sha256, coalesce(c.n, 0) > 0 AS contaminated
+FROM docs d LEFT JOIN covered c ON d.id = c.id LEFT JOIN owners o ON d.id = o.id
+"""
+
+
+QUERIES = {f.__name__: f for f in (op1_graph_ann, op2_language_id, op3_page_text, op4_bpe, op5_url_filters, op6_line_dedup, op7_jaccard_join, op8_pivot_join, op9_packing, op10_secrets, op12_fill_middle, op13_fm_index)}
+ORACLES = {"op5_url_filters": OP5_SQL, "op12_fill_middle": OP12_SQL, "op13_fm_index": OP13_SQL}

@@ -35,8 +35,9 @@ def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _TABLES[0], _TABLES[1]
 
 
-def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(row, hash) of every word of the texts in order; A-Z lower-cased, words end at ASCII white space."""
+def words(column: pa.Array, breaks: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of every word of the texts in order; A-Z lower-cased. breaks: the bytes that end a word, by default
+    ASCII white space; asked after lower-casing."""
     column = pa.compute.fill_null(column, "").cast(pa.large_string())
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     data = column.buffers()[2]
@@ -48,15 +49,15 @@ def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         end = at + CHUNK
         if end < len(raw):  # cut at white space or between rows
             limit = int(np.searchsorted(offsets, end, side="right")) - 1
-            spaces = np.flatnonzero(SPACE[raw[at:end]])
+            spaces = np.flatnonzero(breaks[LOWER[raw[at:end]]])
             end = max(int(offsets[limit]), at + int(spaces[-1]) + 1 if len(spaces) else 0)
             if end <= at:
-                later = np.flatnonzero(SPACE[raw[at:]])
+                later = np.flatnonzero(breaks[LOWER[raw[at:]]])
                 following = int(offsets[np.searchsorted(offsets, at, side="right")])
                 end = min(following, at + int(later[0]) + 1 if len(later) else len(raw))
         end = min(end, len(raw))
         b = LOWER[raw[at:end]]
-        word = ~SPACE[b]
+        word = ~breaks[b]
         first = np.zeros(len(b) + 1, bool)
         inside = offsets[(offsets >= at) & (offsets <= end)] - at
         first[inside] = True
