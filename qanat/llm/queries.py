@@ -193,7 +193,7 @@ windows AS (
 found AS (
   SELECT w.id, w.i, w.size, p.item FROM windows w JOIN phrases p ON w.size = p.size AND w.phrase = p.phrase),
 covered AS (
-  SELECT id, count(DISTINCT at) AS n FROM (SELECT id, unnest(range(i, i + size)) AS at FROM (SELECT DISTINCT id, i, size FROM found)) GROUP BY id),
+  SELECT id, count(DISTINCT place) AS n FROM (SELECT id, unnest(range(i, i + size)) AS place FROM (SELECT DISTINCT id, i, size FROM found)) GROUP BY id),
 owners AS (
   SELECT id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT id, item FROM found) GROUP BY id)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(c.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(o.n, 0) AS BIGINT) AS n_items,
