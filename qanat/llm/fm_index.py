@@ -30,14 +30,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructType
 
-from .common import cut, slices, small_batches
-from .shingles import LOWER, words
+from .common import cut, small_batches
+from .shingles import LOWER, PART_BYTES, texts_in_parts, words
 
 WINDOW = 10
 SAMPLE = 8  # every so many words of a run, its first one included, the index keeps the position
 SHARD_WORDS = 1_000_000  # a shard is closed after so many indexed words,
 SHARD_ROWS = 50_000  # or so many rows
-PART_BYTES = 4_000_000  # texts are read in parts of about so many bytes
 BLOCK_WORDS = 250_000  # phrase words searched in one pass
 ALPHABET_BITS = 24  # the bit table of the benchmark's words has 2 to this power bits
 BITMAP = 32_768  # bits of one of Spark's bitmaps
@@ -239,26 +238,6 @@ def phrase_block(rows: list[tuple[str, np.ndarray]], window: int) -> Block:
     return Block(distinct[:, 1:].copy(), distinct[:, 0].astype(np.int64), names, starts, pairs[:, 1])
 
 
-def texts_in_parts(batches: Iterator[pa.RecordBatch], column: str, part_bytes: int) -> Iterator[tuple[pa.RecordBatch, pa.Array, bool]]:
-    """(rows, their texts or one part of the only row's text, whether it is the last part)."""
-    for batch in slices(batches, column, part_bytes):
-        texts = batch.column(column).cast(pa.large_string())
-        if batch.num_rows > 1 or not texts[0].is_valid or len(raw := texts[0].as_buffer()) <= part_bytes:
-            yield batch, texts, True
-            continue
-        data, at = np.frombuffer(raw, np.uint8), 0
-        while at < len(data):
-            end = at + part_bytes
-            while end < len(data):  # to the next byte that ends a word
-                ahead = np.flatnonzero(BREAKS[LOWER[data[end : end + 4096]]])
-                end += int(ahead[0]) + 1 if len(ahead) else 4096
-                if len(ahead):
-                    break
-            end = min(end, len(data))
-            yield batch, pa.array([data[at:end].tobytes().decode()], pa.large_string()), end == len(data)
-            at = end
-
-
 def phrases_of(items: DataFrame, item: str, text: str, window: int, block_words: int = BLOCK_WORDS, part_bytes: int = PART_BYTES) -> DataFrame:
     """(item, words): the hashes of every item's words, equal rows once, in parts of block_words / 4 that overlap by window - 1."""
     most = max(window, block_words // 4)
@@ -266,7 +245,7 @@ def phrases_of(items: DataFrame, item: str, text: str, window: int, block_words:
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = np.empty(0, np.uint64)
         opened = False  # the item at hand has given a part
-        for batch, texts, last in texts_in_parts(batches, "text", part_bytes):
+        for batch, texts, last in texts_in_parts(batches, "text", BREAKS, part_bytes):
             row, hashes = words(texts, BREAKS)
             ends = np.searchsorted(row, np.arange(len(texts) + 1))
             names, parts = [], []
@@ -380,7 +359,7 @@ def index_table(docs: DataFrame, text: str, carried: list[str], bits: np.ndarray
         schema = to_arrow_schema(kind)
         task, made = TaskContext.get().partitionId(), 0
         shard, row_id, so_far = Shard(window, shortest), 0, 0
-        for batch, texts, last in texts_in_parts(batches, "text", part_bytes):
+        for batch, texts, last in texts_in_parts(batches, "text", BREAKS, part_bytes):
             row, hashes = words(texts, BREAKS)
             counts = np.bincount(row, minlength=len(texts))
             number = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts) + so_far

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fill_middle, fm_index, graph_ann, jaccard_join, language_id, line_dedup, packing, page_text, pivot_join, secrets, url_filters
+from . import bpe, divergence, fill_middle, fm_index, graph_ann, jaccard_join, language_id, line_dedup, packing, page_text, pivot_join, secrets, url_filters
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -116,6 +116,49 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents").select("lang", "source", "text"), min_docs=10, top=10)
+
+
+OP11_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+  FROM documents),
+occurrences AS (
+  SELECT id, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs),
+kept AS (SELECT lang, term, count(*) AS n FROM occurrences GROUP BY lang, term HAVING count(DISTINCT id) >= 10),
+sums AS (SELECT lang, sum(n) AS total, count(*) AS v FROM kept GROUP BY lang),
+cells AS (
+  SELECT o.lang, o.source, o.term, count(*) AS n FROM occurrences o JOIN kept k ON o.lang = k.lang AND o.term = k.term
+  GROUP BY o.lang, o.source, o.term),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+totals AS (
+  SELECT g.lang, g.source, coalesce(sum(c.n), 0) AS total FROM groups g LEFT JOIN cells c ON g.lang = c.lang AND g.source = c.source
+  GROUP BY g.lang, g.source),
+shares AS (
+  SELECT t.lang, t.source, k.term, coalesce(c.n, 0) AS n,
+    CAST(1 + (CAST(1000000000 AS HUGEINT) * (coalesce(c.n, 0) + 2)) // (t.total + 2 * s.v) AS BIGINT) AS p,
+    CAST(1 + (CAST(1000000000 AS HUGEINT) * (k.n + 2)) // (s.total + 2 * s.v) AS BIGINT) AS lang_p
+  FROM totals t JOIN sums s ON t.lang = s.lang JOIN kept k ON t.lang = k.lang
+    LEFT JOIN cells c ON c.lang = t.lang AND c.source = t.source AND c.term = k.term),
+distances AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source
+  GROUP BY a.lang, a.source, b.source),
+found AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(d.value, 0) AS BIGINT) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN distances d ON d.lang = a.lang AND d.source = a.source AND d.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, CAST((p - lang_p) * (p - lang_p) // (p + lang_p) AS BIGINT) FROM shares WHERE n > 0 AND p > lang_p),
+ranked AS (
+  SELECT lang, source, part, item, value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+  FROM found)
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+
+
 def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return fill_middle.transform(docs, "doc_id", seed=42, rate=50, spm=80).select(
@@ -202,5 +245,5 @@ FROM docs d LEFT JOIN covered c ON d.id = c.id LEFT JOIN owners o ON d.id = o.id
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_graph_ann, op2_language_id, op3_page_text, op4_bpe, op5_url_filters, op6_line_dedup, op7_jaccard_join, op8_pivot_join, op9_packing, op10_secrets, op12_fill_middle, op13_fm_index)}
-ORACLES = {"op5_url_filters": OP5_SQL, "op12_fill_middle": OP12_SQL, "op13_fm_index": OP13_SQL}
+QUERIES = {f.__name__: f for f in (op1_graph_ann, op2_language_id, op3_page_text, op4_bpe, op5_url_filters, op6_line_dedup, op7_jaccard_join, op8_pivot_join, op9_packing, op10_secrets, op11_divergence, op12_fill_middle, op13_fm_index)}
+ORACLES = {"op5_url_filters": OP5_SQL, "op11_divergence": OP11_SQL, "op12_fill_middle": OP12_SQL, "op13_fm_index": OP13_SQL}

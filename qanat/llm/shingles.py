@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 
+from .common import slices
+
 CHUNK = 1_000_000
+PART_BYTES = 4_000_000  # longer texts can be read in parts of about so many bytes
 BASE = 0x9E3779B97F4A7C15 | 1
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -96,3 +101,23 @@ def sets(column: pa.Array, n: int) -> list[np.ndarray]:
         else:
             out.append(np.empty(0, np.uint64))
     return out
+
+
+def texts_in_parts(batches: Iterable[pa.RecordBatch], column: str, breaks: np.ndarray = SPACE, most: int = PART_BYTES) -> Iterator[tuple[pa.RecordBatch, pa.Array, bool]]:
+    """(rows, their texts or one part of the only row's text, whether it is the last part). Parts end where words do."""
+    for batch in slices(batches, column, most):
+        texts = batch.column(column).cast(pa.large_string())
+        if batch.num_rows > 1 or not texts[0].is_valid or len(raw := texts[0].as_buffer()) <= most:
+            yield batch, texts, True
+            continue
+        data, at = np.frombuffer(raw, np.uint8), 0
+        while at < len(data):
+            end = at + most
+            while end < len(data):  # to the next byte that ends a word
+                ahead = np.flatnonzero(breaks[LOWER[data[end : end + 4096]]])
+                end += int(ahead[0]) + 1 if len(ahead) else 4096
+                if len(ahead):
+                    break
+            end = min(end, len(data))
+            yield batch, pa.array([data[at:end].tobytes().decode()], pa.large_string()), end == len(data)
+            at = end
