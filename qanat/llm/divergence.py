@@ -39,6 +39,7 @@ ROWS = 256  # groups of a tile
 COLUMNS = 512  # terms of a tile, about
 FOLD = 500_000  # distinct terms a task counts before it passes them on
 FRONTIER = 200_000  # pairs of quadrants that a traversal expands at once
+SALTS = 64  # keys of a language where its own numbers are joined to its terms or groups
 SHIFT = 1 << 20  # a block number times this, plus the place in the block
 
 TERM = re.compile(rb"[a-z\x80-\xff]+")  # of lower-cased UTF-8
@@ -225,7 +226,7 @@ def _blocks(size: str, by: str, per: int) -> Column:
     return F.pmod(F.xxhash64(by), F.greatest(F.ceil(F.col(size) / per), F.lit(1)))
 
 
-TILE = "lang string, rblock long, cblock long, terms long, rows array<long>, totals array<long>, sizes array<int>, bits binary, leaves binary"
+TILE = "lang string, rblock long, blocks long, cblock long, terms long, rows array<long>, totals array<long>, sizes array<int>, bits binary, leaves binary"
 
 
 def _tile(cells: pa.Table) -> pa.Table:
@@ -238,7 +239,7 @@ def _tile(cells: pa.Table) -> pa.Table:
     levels = max(1, int(max(len(rows), cols.max())).bit_length())
     tree = QuadTree.build(np.concatenate([np.zeros(len(cols), np.int64), local]), np.concatenate([cols, col]), np.concatenate([cells.column("lang_n").to_numpy()[at], n]), levels)
     sizes, bits, leaves = tree.stored()
-    one = {c: cells.column(c)[:1].combine_chunks() for c in ("lang", "rblock", "cblock", "terms")}
+    one = {c: cells.column(c)[:1].combine_chunks() for c in ("lang", "rblock", "blocks", "cblock", "terms")}
     lists = {"rows": [rows.tolist()], "totals": [[cells.column("lang_total")[0].as_py(), *totals.tolist()]], "sizes": pa.array([sizes], pa.list_(pa.int32()))}
     return pa.table(one | lists | {"bits": [bits], "leaves": [leaves]})
 
@@ -274,7 +275,7 @@ def _found(lang: str, part: str, a: np.ndarray, b: np.ndarray, value: np.ndarray
     return pa.RecordBatch.from_pydict({"lang": pa.array([lang] * n, pa.string()), "part": pa.array([part] * n, pa.string()), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "value": pa.array(value, pa.int64())})
 
 
-PANEL = "lang string, rblock long, terms long, rows array<long>, totals array<long>, starts array<long>, counts array<long>, times array<long>"
+PANEL = "lang string, rblock long, blocks long, terms long, rows array<long>, totals array<long>, starts array<long>, counts array<long>, times array<long>"
 
 
 def _panel(groups: pa.Table, histogram: pa.Table) -> pa.Table:
@@ -284,7 +285,7 @@ def _panel(groups: pa.Table, histogram: pa.Table) -> pa.Table:
     histogram = histogram.sort_by([("row", "ascending"), ("n", "ascending")])
     starts = np.searchsorted(histogram.column("row").to_numpy(), np.append(rows, rows[-1] + 1))
     lists = {"rows": rows, "totals": groups.column("total").to_numpy(), "starts": starts, "counts": histogram.column("n").to_numpy(), "times": histogram.column("times").to_numpy()}
-    one = {c: groups.column(c)[:1].combine_chunks() for c in ("lang", "rblock", "terms")}
+    one = {c: groups.column(c)[:1].combine_chunks() for c in ("lang", "rblock", "blocks", "terms")}
     return pa.table(one | {k: pa.array([v.astype(np.int64)], pa.list_(pa.int64())) for k, v in lists.items()})
 
 
@@ -318,24 +319,27 @@ def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     and the `top` terms whose share there exceeds the language's (`term`), larger values first."""
     named = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     given = docs.select(named(lang).alias("lang"), named(source).alias("source"), F.col(text).alias("text"))
-    cells = cut(count_terms(given, part_bytes).groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("d").alias("d")))
+    # counts are folded already: one shuffle by (language, term) serves the sums, the choice of terms and their totals
+    counted = count_terms(given, part_bytes).repartition("lang", "term").groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
+    of_term = Window.partitionBy("lang", "term")  # a row for each source at most
+    counted = counted.withColumns({"lang_n": F.sum("n").over(of_term), "docs": F.sum("d").over(of_term)})
+    cells = cut(counted.where(F.col("docs") >= min_docs).drop("d", "docs"))
 
     # columns: the kept terms of each language, in blocks by hash, numbered by name inside a block
-    kept = cells.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("d").alias("d")).where(F.col("d") >= min_docs).drop("d")
-    kept = cut(kept)
-    sums = kept.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("lang_n").alias("lang_total"))
+    kept = cells.groupBy("lang", "term").agg(F.first("lang_n").alias("lang_n"))
+    sums = cut(kept.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("lang_n").alias("lang_total")))
     place = lambda *keys: F.row_number().over(Window.partitionBy("lang", keys[0]).orderBy(keys[1])).cast("long")
-    terms = kept.join(sums, "lang").withColumn("cblock", _blocks("terms", "term", columns))
+    terms = _of_language(kept, sums, "term").withColumn("cblock", _blocks("terms", "term", columns))
     terms = cut(terms.withColumn("col", place("cblock", "term") - 1))
-    known = cut(cells.drop("d").join(terms, ["lang", "term"]))
+    known = cells.join(terms.drop("lang_n"), ["lang", "term"])
 
     # rows: every group of the documents, with its total over kept terms
     groups = given.groupBy("lang", "source").agg(F.count("*").alias("documents")).drop("documents")
-    sizes = groups.groupBy("lang").agg(F.count("*").alias("sources"))
-    totals = known.groupBy("lang", "source").agg(F.sum("n").alias("total"))
-    groups = groups.join(sizes, "lang").join(totals, ["lang", "source"], "left").join(sums, "lang", "left").fillna(0, ["total", "terms", "lang_total"])
-    groups = groups.withColumn("rblock", _blocks("sources", "source", rows)).withColumn("row", place("rblock", "source"))
-    groups = cut(groups.select("lang", "source", "rblock", "row", "total", "terms"))
+    sizes = groups.groupBy("lang").agg(F.count("*").alias("sources")).join(sums.select("lang", "terms"), "lang", "left")
+    totals = cells.groupBy("lang", "source").agg(F.sum("n").alias("total"))
+    groups = _of_language(groups, sizes, "source").join(totals, ["lang", "source"], "left").fillna(0, ["total", "terms"])
+    groups = groups.withColumn("blocks", F.ceil(F.col("sources") / rows)).withColumn("rblock", _blocks("sources", "source", rows))
+    groups = cut(groups.withColumn("row", place("rblock", "source")).drop("sources"))
 
     # tiles, and their joint traversal
     matrix = cut(known.drop("terms", "term").join(groups, ["lang", "source"]).drop("source"))
@@ -364,7 +368,14 @@ def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
 
 
 def _met(tables: DataFrame, on: list[str]) -> DataFrame:
-    """Every pair of blocks of one language (and columns), each once; a block also meets itself."""
-    held = [c for c in tables.columns if c not in on]
-    side = lambda name: tables.select(*on, F.col("rblock").alias(f"{name}_block"), F.struct(*on, *held).alias(name))
-    return side("one").join(side("two"), on).where("one_block <= two_block").select("one", "two")
+    """Every pair of blocks of one language (and columns), each once; a block also meets itself. Each block goes to a key
+    for each partner, so that a language with many blocks is spread."""
+    one = tables.select(*on, F.col("rblock").alias("i"), F.explode(F.sequence("rblock", F.col("blocks") - 1)).alias("j"), F.struct(*tables.columns).alias("one"))
+    two = tables.select(*on, F.explode(F.sequence(F.lit(0).cast("long"), "rblock")).alias("i"), F.col("rblock").alias("j"), F.struct(*tables.columns).alias("two"))
+    return one.join(two, [*on, "i", "j"]).select("one", "two")
+
+
+def _of_language(rows: DataFrame, languages: DataFrame, by: str) -> DataFrame:
+    """rows with the columns of their language; each language stands under SALTS keys, so that a large one is spread."""
+    salted = languages.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(salted, ["lang", "salt"]).drop("salt")
