@@ -47,7 +47,18 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/qanat-llm-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._qanat_table = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the tables of frames that cut() returned. Whatever was made from them must be a table itself by now."""
+    for df in frames:
+        if path := getattr(df, "_qanat_table", None):
+            spark = df.sparkSession
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -59,20 +70,21 @@ def components(edges: DataFrame) -> DataFrame:
     edges = edges.select("a", "b").where("a is not null and b is not null and a <> b")
     edges = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     labels = edges.select(F.col("a").alias("v")).union(edges.select("b")).distinct().select("v", F.col("v").alias("component"))
-    if edges.isEmpty():
-        return labels
     labels = cut(labels)
     while not edges.isEmpty():
         both = edges.union(edges.select("b", "a"))
-        up = both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("n")).select("v", F.least("v", "n").alias("p"))
-        further = up.select(F.col("v").alias("p"), F.col("p").alias("pp"))
-        up = cut(up.join(further, "p", "left").select("v", F.coalesce("pp", "p").alias("p")))
+        near = both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("n")).select("v", F.least("v", "n").alias("p"))
+        further = near.select(F.col("v").alias("p"), F.col("p").alias("pp"))
+        up = cut(near.join(further, "p", "left").select("v", F.coalesce("pp", "p").alias("p")))
         first = up.select(F.col("v").alias("a"), F.col("p").alias("pa"))
         second = up.select(F.col("v").alias("b"), F.col("p").alias("pb"))
         moved = edges.join(first, "a").join(second, "b").where("pa <> pb")
-        edges = cut(moved.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct())
+        left = cut(moved.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct())
         step = up.select(F.col("v").alias("component"), F.col("p").alias("next"))
-        labels = cut(labels.join(step, "component", "left").select("v", F.coalesce("next", "component").alias("component")))
+        found = cut(labels.join(step, "component", "left").select("v", F.coalesce("next", "component").alias("component")))
+        discard(edges, labels, up)
+        edges, labels = left, found
+    discard(edges)
     return labels
 
 

@@ -7,13 +7,13 @@ similarity.
 
 Points are dealt into cells so that no link is lost: sets of similarity t share one of the first n - ceil(t n) + 1
 shingles of any common order. The order is rare first, by a sketch of fixed size that counts all shingles of the corpus.
-A class lies in the cell of each of these shingles; cells with one class go. A cell's points are cut into blocks of
-BLOCK rows, each pair of blocks is a task's group, and R-trees (one leaf, for small cells) give the pairs whose bound
+A class lies in the cell of each of these shingles; cells with one class go. Near copies share many such shingles: of
+cells with the same members (128-bit digest of them) one stays. A cell's points are cut into blocks of BLOCK rows, each pair of blocks is a task's group, and R-trees (one leaf, for small cells) give the pairs whose bound
 reaches the threshold.
 
 Dense cells would give all pairs of a group of near copies, so there are two rounds. The first takes, of each cell, a
 spanning forest of the pairs with the highest bounds; the second every remaining pair whose classes are not yet
-connected. Inside a round every component first tries its best pair, twice; then all pairs that are still between two
+connected. Their pairs are bounded once more by counts in finer groups, as many as the sets are large. Inside a round every component first tries its best pair, twice; then all pairs that are still between two
 components are tried: nothing is left out, and what is skipped could not change a component. Verification counts
 the overlap of the whole sets in integers.
 
@@ -26,17 +26,17 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, cut, slices, small_batches, whole_groups
+from .common import components, cut, discard, slices, small_batches, whole_groups
 from .shingles import mix, sets
 
 GROUPS = 128
 SKETCH_BITS, SEGMENTS = 20, 64
 BLOCK = 1_024
 LEAF, FAN = 64, 16
+FINE = 4
 BEST_ROUNDS = 2
 FLUSH = 500_000  # pairs whose repeats a task drops at once
 PAIRS = 25_000  # that numpy looks at in one step
@@ -55,6 +55,19 @@ def point(s: np.ndarray) -> bytes:
     return counts.astype(np.uint8 if counts.max() < 256 else np.uint16 if counts.max() < 65_536 else np.uint32).tobytes()
 
 
+def fine_point(s: np.ndarray) -> bytes:
+    """Counts in finer groups, about FINE shingles each: a power of two, so that the counts of a larger set fold."""
+    groups = 1 << max(0, (len(s) // FINE).bit_length())
+    return np.bincount((s & np.uint64(groups - 1)).astype(np.int64), minlength=groups).astype(np.uint16).tobytes()
+
+
+def fine_bound(one: bytes, two: bytes) -> int:
+    """Upper bound of the overlap of two sets by their finer groups."""
+    a, b = np.frombuffer(one, np.uint16).astype(np.int64), np.frombuffer(two, np.uint16).astype(np.int64)
+    groups = min(len(a), len(b))
+    return int(np.minimum(a.reshape(-1, groups).sum(0), b.reshape(-1, groups).sum(0)).sum())
+
+
 def points(raws: list[bytes]) -> np.ndarray:
     out = np.empty((len(raws), GROUPS), np.int32)
     kinds = {GROUPS: np.uint8, 2 * GROUPS: np.uint16, 4 * GROUPS: np.uint32}
@@ -234,7 +247,7 @@ def _summed(blobs: DataFrame) -> np.ndarray:
 
 
 def _cells(docs: DataFrame, text: str, words: int, rank: np.ndarray, percent: int) -> DataFrame:
-    """(token, d, size) of the classes in each cell of two classes or more; size counts the cell's rows."""
+    """(token, d, size) of the classes in each cell of two classes or more, of cells with the same classes one."""
 
     def run(batches):
         seen: set[int] = set()  # copies inside a task go once
@@ -247,11 +260,14 @@ def _cells(docs: DataFrame, text: str, words: int, rank: np.ndarray, percent: in
                     of.append(np.full(len(tokens[-1]), d, np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).astype(np.int64)), pa.array(np.concatenate(of))], ["token", "d"])
 
-    rows = docs.select(text).mapInArrow(run, "token long, d long").persist(StorageLevel.DISK_ONLY)  # read twice
-    held = rows.groupBy("token").agg(F.min("d").alias("low"), F.max("d").alias("high"), F.count("*").alias("size"))
-    found = cut(rows.join(held.where("low <> high").select("token", "size"), "token"))
-    rows.unpersist()
-    return found
+    rows = docs.select(text).mapInArrow(run, "token long, d long").repartition("token").dropDuplicates(["token", "d"])
+    cell = Window.partitionBy("token")
+    members = {"size": F.count("*"), "low": F.min("d"), "x": F.bit_xor(F.xxhash64("d")), "y": F.bit_xor(F.xxhash64(F.lit(1), "d"))}
+    found = cut(rows.withColumns({k: v.over(cell) for k, v in members.items()}).where("size > 1"))
+    once = found.groupBy("low", "size", "x", "y").agg(F.min("token").alias("token")).select("token")
+    cells = cut(found.join(once, "token", "left_semi").select("token", "d", "size"))
+    discard(found)
+    return cells
 
 
 def _candidates(cells: DataFrame, classes: DataFrame, percent: int, forest_only: bool) -> DataFrame:
@@ -297,7 +313,7 @@ def _candidates(cells: DataFrame, classes: DataFrame, percent: int, forest_only:
 
 
 def _sets(docs: DataFrame, text: str, words: int, pairs: DataFrame) -> DataFrame:
-    """(d, items): the whole sets of the classes that occur in pairs."""
+    """(d, n, fine, items): the whole sets of the classes that occur in pairs, and their counts in finer groups."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("d")).distinct()
 
     def sketched(batches):
@@ -315,16 +331,39 @@ def _sets(docs: DataFrame, text: str, words: int, pairs: DataFrame) -> DataFrame
             found = [(d, s.tobytes()) for d, s in found if needed[(d % (1 << 64)) >> (64 - SKETCH_BITS)] and not (d in seen or seen.add(d))]
             if found:
                 ids, raws = zip(*found, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(raws, pa.binary())], ["d", "items"])
+                fine = [fine_point(np.frombuffer(r, np.uint64)) for r in raws]
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(r) // 8 for r in raws], pa.int64()), pa.array(fine, pa.binary()), pa.array(raws, pa.binary())], ["d", "n", "fine", "items"])
 
-    own = docs.select(text).mapInArrow(whole, "d long, items binary").groupBy("d").agg(F.first("items").alias("items"))
+    own = docs.select(text).mapInArrow(whole, "d long, n long, fine binary, items binary")
+    own = own.groupBy("d").agg(*[F.first(c).alias(c) for c in ("n", "fine", "items")])
     return cut(own.join(wanted, "d", "left_semi"))
 
 
+def _refined(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose bound still reaches the threshold in the finer groups, with that bound's similarity as score.
+
+    Large sets fill all GROUPS groups alike, so that the bound in a cell rules little out; these counts are a sixteenth of
+    a set's size."""
+    fine = whole.select("d", "n", "fine")
+    of = lambda c: fine.withColumnsRenamed({"d": c, "n": f"n{c}", "fine": f"fine_{c}"})
+
+    def run(batches):
+        for batch in batches:
+            a, b = batch.column("a").to_numpy(), batch.column("b").to_numpy()
+            bound = np.array([fine_bound(x.as_buffer(), y.as_buffer()) for x, y in zip(batch.column("fine_a"), batch.column("fine_b"), strict=True)], np.int64)
+            total = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
+            ok = reaches(bound, total, percent)
+            yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok]), pa.array(bound[ok] / (total[ok] - bound[ok]))], ["a", "b", "score"])
+
+    sides = pairs.select("a", "b").join(of("b"), "b").join(of("a"), "a")
+    return cut(sides.mapInArrow(run, "a long, b long, score double"))
+
+
 def _verified(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
     """(pa, pb) of the pairs (a, b, pa, pb) whose sets are similar enough, by the overlap of the whole sets."""
-    right = pairs.join(whole.select(F.col("d").alias("b"), F.col("items").alias("theirs")), "b")
-    sides = right.join(whole.select(F.col("d").alias("a"), F.col("items").alias("ours")), "a").select("pa", "pb", "ours", "theirs")
+    one, two = (whole.join(pairs.select(F.col(c).alias("d")).distinct(), "d", "left_semi") for c in ("a", "b"))  # only these sets travel
+    right = pairs.join(two.select(F.col("d").alias("b"), F.col("items").alias("theirs")), "b")
+    sides = right.join(one.select(F.col("d").alias("a"), F.col("items").alias("ours")), "a").select("pa", "pb", "ours", "theirs")
 
     def run(batches):
         for batch in batches:
@@ -352,8 +391,10 @@ def _joined(parts: DataFrame, pairs: DataFrame, whole: DataFrame, percent: int)
         if tried.isEmpty():
             break
         links = _verified(tried, whole, percent).select(F.col("pa").alias("a"), F.col("pb").alias("b"))
-        merged = components(links).select(F.col("v").alias("part"), F.col("component").alias("into"))
-        parts = cut(parts.join(merged, "part", "left").select("d", F.coalesce("into", "part").alias("part")))
+        labels = components(links)
+        merged = labels.select(F.col("v").alias("part"), F.col("component").alias("into"))
+        before, parts = parts, cut(parts.join(merged, "part", "left").select("d", F.coalesce("into", "part").alias("part")))
+        discard(before, labels)
         sides = [parts.select(F.col("d").alias(c), F.col("part").alias(f"p{c}")) for c in ("a", "b")]
         pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
     return parts
@@ -372,12 +413,15 @@ def near_duplicates(df: DataFrame, words: int, percent: int, key: str = "doc_id"
     inside = classes.select("d", "n", "point").join(cells.select("d").distinct(), "d", "left_semi")
     first = cut(_candidates(cells, inside.withColumn("part", F.col("d")), percent, True))
     whole = _sets(docs, "text", words, first)
-    parts = _joined(whole.select("d", F.col("d").alias("part")), first, whole, percent)
+    near = _refined(first, whole, percent)
+    parts = _joined(cut(whole.select("d", F.col("d").alias("part"))), near, whole, percent)
     second = inside.join(parts, "d", "left").withColumn("part", F.coalesce("part", "d"))
     held = cells.join(second.select("d", "part"), "d").groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high"))
     mixed = cells.join(held.where("low <> high").select("token"), "token")  # the others are one component already
     second = cut(_candidates(mixed, second, percent, False).join(first, ["a", "b"], "left_anti"))
-    parts = _joined(parts, second, whole, percent)
+    still = _refined(second, whole, percent)
+    parts = _joined(parts, still, whole, percent)
+    discard(cells, first, near, second, still, whole)
     named = classes.select("d", "rep").join(parts, "d", "left").withColumn("part", F.coalesce("part", "d"))
     names = named.groupBy("part").agg(F.min("rep").alias("name"))
     named = named.join(names, "part").select("d", "name")
