@@ -11,23 +11,21 @@ from ..context import RunContext
 from ..functions.money import MONEY, multiplier, score4
 from ..functions.times import weekday_clock
 from .gold import OWN_TRANSFER
-from .skew import exact_median, moment_blocks, numbered, running, spread_join, value_counts
+from .skew import exact_median, numbered, running, spread_join, value_counts
 
 MODEL_NAME = "payment_anomaly"
 THRESHOLD = 0.65
 FEATURES = ("log_amount_rel", "log_ratio", "hour_gst", "is_weekend", "is_first_time", "dup_count")
 # Tie-break of equally rare features: the more specific explanation first.
 PRIORITY = ("dup_count", "log_ratio", "hour_gst", "is_weekend", "is_first_time", "log_amount_rel")
-# Extremities of the two logarithms are compared at nine decimals; together with the block width below
-# this bounds the distinct values of a block.
+# Extremities of the two logarithms are compared at nine decimals, so that rounding noise makes no distinct values.
 LOG_DECIMALS = 9
 KEPT = ("payment_id", "company_id", "transaction_id", "counterparty", "amount", "executed_at")
 
 
 def company_median(features: DataFrame) -> DataFrame:
     """Exact median payment per company."""
-    thousands = F.floor(F.col("amount") / F.lit(1_000))  # at most 100,000 distinct amounts each
-    return exact_median(value_counts(features, ["company_id"], "amount"), ["company_id"], "amount", [thousands])
+    return exact_median(value_counts(features, ["company_id"], "amount"), ["company_id"], "amount")
 
 
 def anomaly_frame(features: DataFrame) -> DataFrame:
@@ -81,8 +79,7 @@ def shares(reference: DataFrame, wanted: DataFrame) -> DataFrame:
     marks = wanted.select("feature", "extremity", F.lit(0).cast("long").alias("n"), F.lit(0).alias("_side")).unionByName(
         reference.select("feature", "extremity", "n", F.lit(1).alias("_side"))
     )
-    blocks = [F.floor(F.col("extremity") * 1e4), F.floor(F.col("extremity") / 1e5)]
-    ranked = running(marks, ["feature"], ["extremity", "_side"], blocks, {"_below": F.col("n")})
+    ranked = running(marks, ["feature"], ["extremity", "_side"], {"_below": F.col("n")})
     totals = reference.groupBy("feature").agg(F.sum("n").alias("_total"))
     return (
         ranked.where(F.col("_side") == 0)
@@ -164,8 +161,7 @@ def flag(
 
 def anomaly_rows(flagged: DataFrame, version: str, ctx: RunContext) -> DataFrame:
     """Serving rows, numbered by company, time and payment."""
-    blocks = [F.struct("company_id", b) for b in moment_blocks("executed_at", "payment_id")] + [F.col("company_id")]
-    return numbered(flagged, ["company_id", "executed_at", "payment_id"], blocks, "id").select(
+    return numbered(flagged, ["company_id", "executed_at", "payment_id"], "id").select(
         "id",
         "company_id",
         "payment_id",
@@ -187,8 +183,7 @@ def training_metrics(scored: DataFrame, threshold: float = THRESHOLD) -> DataFra
     The scores of one forest take as many values as there are cells, so the exact median is folded from
     value counts.
     """
-    blocks = [F.floor(F.col("score") * 1e5)]
-    p50 = exact_median(value_counts(scored, [], "score"), [], "score", blocks).scalar()
+    p50 = exact_median(value_counts(scored, [], "score"), [], "score").scalar()
     totals = scored.agg(
         F.count(F.lit(1)).cast("double").alias("payments"),
         F.count(F.when(F.col("score") >= threshold, 1)).cast("double").alias("flagged"),

@@ -41,9 +41,7 @@ def daily_flow_history(flows: DataFrame, until: Column) -> DataFrame:
 
 def running_balance(postings: DataFrame, opening: DataFrame | None = None) -> DataFrame:
     """balance_after of every posting: the account's opening balance plus all postings up to it, in id order."""
-    done = running(
-        postings, ["account_id"], ["transaction_id"], [id_block()], {"balance_after": F.col("amount")}, inclusive=True
-    )
+    done = running(postings, ["account_id"], ["transaction_id"], {"balance_after": F.col("amount")}, inclusive=True)
     if opening is None:
         return done.withColumn("balance_after", F.col("balance_after").cast(MONEY))
     opened = spread_join(done, opening.select("account_id", "opening_balance"), ["account_id"], "transaction_id")

@@ -1,95 +1,109 @@
 """Running totals, ranks, medians and look-ups whose cost does not depend on how large one key is.
 
-A plain window puts all rows of a key into one task. The order of every key is therefore cut into blocks (ranges of
-ids, or one instant and a range of ids): rows are windowed inside (key, block), the table of block totals is
-accumulated per key over coarser and coarser blocks, and both are added. There is one plan for every size of input; it
-counts nothing first and broadcasts nothing. Blocks are arithmetic on the order columns, so a re-run of a lost task
-gives the same blocks.
+A plain window puts all rows of a key into one task. Running totals are a prefix scan instead: rows are dealt by ranges
+of (key, order), so a hot key covers many ranges; each range hands the total of the key it ends with to all later
+ranges, and a window inside (range, key) starts from what was handed over. There is one plan for every size of input; it
+starts no job of its own, counts nothing first and broadcasts nothing.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-
-from ..functions.times import time_block
-
-KEY = "_key"
-BLOCK_IDS = 131_072  # ids, and so rows at most, in the finest block
-
-
-def moment_blocks(at: str, identity: str, *ties: str) -> list[Column]:
-    """Blocks of the order (at, *ties, identity): one instant and a range of ids, then its minute, then its day.
-
-    However many rows carry one instant, a window partition holds BLOCK_IDS of them at most."""
-    finest = F.struct(at, *ties, F.floor(F.col(identity) / BLOCK_IDS).alias("_ids"))
-    return [finest, time_block(F.col(at), 60), time_block(F.col(at), 86_400)]
-
-
-def _frame(inclusive: bool) -> tuple[int, int]:
-    return Window.unboundedPreceding, 0 if inclusive else -1
-
-
-def _block_offsets(totals: DataFrame, names: Sequence[str], blocks: Sequence[str]) -> DataFrame:
-    """Per (key, block): the total of every earlier block of the key, as `_off_<name>`."""
-    if len(blocks) == 1:
-        w = Window.partitionBy(KEY).orderBy(blocks[0]).rowsBetween(*_frame(False))
-        return totals.select(KEY, *blocks, *[F.sum(n).over(w).alias(f"_off_{n}") for n in names])
-    coarse = totals.groupBy(KEY, *blocks[1:]).agg(*[F.sum(n).alias(n) for n in names])
-    upper = _block_offsets(coarse, names, blocks[1:]).select(
-        KEY, *blocks[1:], *[F.col(f"_off_{n}").alias(f"_up_{n}") for n in names]
-    )
-    w = Window.partitionBy(KEY, *blocks[1:]).orderBy(blocks[0]).rowsBetween(*_frame(False))
-    within = totals.select(KEY, *blocks, *[F.sum(n).over(w).alias(f"_in_{n}") for n in names])
-    return within.join(upper, [KEY, *blocks[1:]]).select(
-        KEY, *blocks, *[_plus(F.col(f"_up_{n}"), F.col(f"_in_{n}")).alias(f"_off_{n}") for n in names]
+from pyspark.sql.types import LongType, StructField, StructType
+
+RANGE = "_range"
+
+
+def _equal_tail(batch: pa.RecordBatch, keys: Sequence[str], last: Sequence[pa.Scalar]) -> int:
+    """How many rows at the end of a sorted batch have the key `last`; NULLs are equal."""
+    same = None
+    for key, value in zip(keys, last):
+        column = batch.column(key)
+        one = pc.fill_null(pc.equal(column, value), False) if value.is_valid else pc.is_null(column)
+        same = one if same is None else pc.and_(same, one)
+    return batch.num_rows if same is None else pc.sum(same).as_py() or 0
+
+
+def _carry(ranges: int, keys: Sequence[str], values: Sequence[str]):
+    """Over the sorted rows of one range: the rows, and one row for each later range with the total of the last key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId()
+        last, totals, schema = None, {}, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            schema = batch.schema
+            ends = [batch.column(k)[batch.num_rows - 1] for k in keys]
+            tail = _equal_tail(batch, keys, ends)
+            sums = {v: pc.sum(batch.column(v).slice(batch.num_rows - tail)).as_py() for v in values}
+            if last is not None and tail == batch.num_rows and all(a.equals(b) for a, b in zip(last, ends)):
+                sums = {v: totals[v] if s is None else s if totals[v] is None else totals[v] + s for v, s in sums.items()}
+            last, totals = ends, sums
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([number] * batch.num_rows, pa.int64())], names=[*schema.names, RANGE])
+        later = range(number + 1, ranges)
+        if last is not None and len(later):
+            fixed = {**{k: v.as_py() for k, v in zip(keys, last)}, **totals}
+            columns = [pa.array([fixed[f.name]] * len(later), f.type) if f.name in fixed else pa.nulls(len(later), f.type) for f in schema]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(list(later), pa.int64())], names=[*schema.names, RANGE])
+
+    return run
+
+
+def in_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: Mapping[str, Column]) -> DataFrame:
+    """The rows of df as `_row`, dealt by ranges of (keys, order), with their keys, order and values beside them and the
+    number of their range; rows without `_row` hand the total of the key that an earlier range ends with to this one."""
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    key_names, order_names = [f"_key{i}" for i in range(len(keys))], [f"_order{i}" for i in range(len(order))]
+    values = {f"_value_{n}": c for n, c in sums.items()}
+    rows = df.select(
+        F.struct(*df.columns).alias("_row"),
+        *[F.col(c).alias(n) for n, c in zip(key_names + order_names, [*keys, *order])],
+        *[c.alias(n) for n, c in values.items()],
     )
+    by = key_names + order_names
+    sorted_rows = rows.repartitionByRange(ranges, *by).sortWithinPartitions(*by)
+    # totals are wider than the values that they add up
+    widened = sorted_rows.select("_row", *by, *[_as_total(rows.schema[n].dataType.simpleString(), n) for n in values])
+    schema = StructType([StructField(f.name, f.dataType) for f in widened.schema.fields]).add(RANGE, LongType())
+    return widened.mapInArrow(_carry(ranges, key_names, list(values)), schema)
 
 
-def _plus(a: Column, b: Column) -> Column:
-    """a + b where NULL means an empty total; NULL only when both are."""
-    return F.coalesce(a + b, a, b)
+def _as_total(kind: str, name: str) -> Column:
+    if kind.startswith("decimal"):
+        precision, scale = (int(x) for x in kind[len("decimal(") : -1].split(","))
+        return F.col(name).cast(f"decimal({min(38, precision + 10)},{scale})").alias(name)
+    return F.col(name).cast("double" if kind in ("float", "double") else "long").alias(name)
 
 
-def running(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    blocks: Sequence[Column],
-    sums: Mapping[str, Column],
-    inclusive: bool = False,
-) -> DataFrame:
+def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: Mapping[str, Column], inclusive: bool = False) -> DataFrame:
     """Running sums per key: the rows before each row, or up to and including it.
 
     keys    grouping columns; NULLs group together; none = one global order
     order   columns that order the rows of a key totally (no ties)
-    blocks  finest first; each must never decrease along `order`, and a block must lie inside one
-            block of the next level. Further levels keep the table of block totals small per task.
     sums    result column -> value to sum; an empty total is NULL
     """
-    names = list(sums)
-    block_names = [f"_block{i}" for i in range(len(blocks))]
-    rows = df.select(
-        "*",
-        F.struct(*keys, *([] if keys else [F.lit(0).alias("all")])).alias(KEY),
-        *[b.alias(n) for b, n in zip(blocks, block_names)],
-        *[c.alias(f"_v_{n}") for n, c in sums.items()],
-    )
-    totals = rows.groupBy(KEY, *block_names).agg(*[F.sum(f"_v_{n}").alias(n) for n in names])
-    offsets = _block_offsets(totals, names, block_names)
-    w = Window.partitionBy(KEY, *block_names).orderBy(*order).rowsBetween(*_frame(inclusive))
-    local = rows.select(*df.columns, KEY, *block_names, *[F.sum(f"_v_{n}").over(w).alias(f"_in_{n}") for n in names])
-    return local.join(offsets, [KEY, *block_names], "left").select(
-        *df.columns, *[_plus(F.col(f"_off_{n}"), F.col(f"_in_{n}")).alias(n) for n in names]
+    dealt = in_ranges(df, keys, order, sums)
+    handed = F.col("_row").isNull()
+    w = (
+        Window.partitionBy(RANGE, *[f"_key{i}" for i in range(len(keys))])
+        .orderBy(handed.desc(), *[f"_order{i}" for i in range(len(order))])
+        .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     )
+    done = dealt.select("_row", *[F.sum(f"_value_{n}").over(w).alias(n) for n in sums]).where(~handed)
+    return done.select(*[F.col("_row")[c].alias(c) for c in df.columns], *sums)
 
 
-def numbered(df: DataFrame, order: Sequence[str], blocks: Sequence[Column], name: str = "id") -> DataFrame:
+def numbered(df: DataFrame, order: Sequence[str], name: str = "id") -> DataFrame:
     """Sequential numbers 1, 2, 3, ... in one global order, without a one-task sort."""
-    return running(df, [], order, blocks, {name: F.lit(1).cast("long")}, inclusive=True)
+    return running(df, [], order, {name: F.lit(1).cast("long")}, inclusive=True)
 
 
 def spread_join(rows: DataFrame, lookup: DataFrame, on: Sequence[str], spread_by: str, how: str = "left") -> DataFrame:
@@ -108,12 +122,12 @@ def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     return df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
 
 
-def exact_median(counts: DataFrame, keys: Sequence[str], value: str, blocks: Sequence[Column]) -> DataFrame:
+def exact_median(counts: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Exact median per key (or of everything) from `value_counts`: the mean of the two middle values.
 
     Partial aggregation has already folded equal values, so a hot key costs its distinct values only.
     """
-    ranked = running(counts, keys, [value], blocks, {"_below": F.col("n")})
+    ranked = running(counts, keys, [value], {"_below": F.col("n")})
     totals = counts.groupBy(*keys).agg(F.sum("n").alias("_total"))
     below = F.coalesce("_below", F.lit(0))
 

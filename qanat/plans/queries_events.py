@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import json_at, seed_event_id, sorted_json
 from ..functions.times import iso_ts, next_batch_at
 from ..operators import posting, silver, upserts
-from ..operators.skew import moment_blocks, numbered
+from ..operators.skew import numbered
 from ..sources.ledger import scoring_state as state_of
 from .queries_forecast import forecast_table
 from .queries_gold import CTX, LINEAGE
@@ -216,9 +216,7 @@ def next_batches(L: Ledger) -> DataFrame:
 @query("""SELECT payment_id, row_number() OVER (ORDER BY created_at, company_id, payment_id) AS id FROM payments""")
 def payment_numbers(L: Ledger) -> DataFrame:
     """Sequential ids in creation order, numbered without one global sort task."""
-
-    blocks = moment_blocks("created_at", "payment_id", "company_id")
-    return numbered(L.payments, ["created_at", "company_id", "payment_id"], blocks).select("payment_id", "id")
+    return numbered(L.payments, ["created_at", "company_id", "payment_id"]).select("payment_id", "id")
 
 
 @query("""SELECT -(2000000000000 + transaction_id) AS event_id, strftime(booked_at, '%Y-%m-%dT%H:%M:%S') ||

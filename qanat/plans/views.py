@@ -285,8 +285,7 @@ class Ledger:
             "event_id", "ts", (F.col("user_id") % 2).cast("string").alias("region"), F.col("event_type").alias("workload"),
             F.floor(e / 5_000).alias("_epoch"),
         )
-        blocks = [F.floor(e / 1_000)]
-        done = running(base, ["region", "workload", "_epoch"], ["event_id"], blocks, {"value": F.lit(1)}, inclusive=True)
+        done = running(base, ["region", "workload", "_epoch"], ["event_id"], {"value": F.lit(1)}, inclusive=True)
         return done.select("ts", "region", "workload", F.col("value").cast("double").alias("value"))
 
     def table(self, name: str) -> DataFrame:

@@ -121,7 +121,7 @@ def test_clock_changes_of_the_session_zone_play_no_part(spark):
     from pyspark.sql import Window
 
     from qanat.functions.times import parse_ts, time_block
-    from qanat.operators.skew import moment_blocks, running
+    from qanat.operators.skew import running
 
     spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
     try:
@@ -129,7 +129,7 @@ def test_clock_changes_of_the_session_zone_play_no_part(spark):
         rows = spark.createDataFrame(texts, "id long, text string").withColumn("t", F.col("text").cast("timestamp_ntz"))
         blocks = [r.b for r in rows.withColumn("b", time_block(F.col("t"), 60)).orderBy("t").collect()]
         assert blocks == sorted(blocks)
-        done = running(rows, [], ["t", "id"], moment_blocks("t", "id"), {"n": F.lit(1).cast("long")}, inclusive=True)
+        done = running(rows, [], ["t", "id"], {"n": F.lit(1).cast("long")}, inclusive=True)
         assert [r.n for r in done.orderBy(F.col("text")).collect()] == list(range(1, 17))
         assert done.select(F.row_number().over(Window.orderBy("t")) == F.col("n")).distinct().count() == 1
         cases = [("2026-01-05T01:00:00Z", "2026-01-05 01:00:00"), ("2026-07-05T01:00:00+04:00", "2026-07-04 21:00:00"), ("2026-01-05 01:00:00.5", "2026-01-05 01:00:00.500000"), ("2026-01-05", "2026-01-05 00:00:00"), ("x", None), (None, None)]

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from qanat.operators.skew import exact_median, numbered, running, spread_join, value_counts
+from qanat.operators.skew import exact_median, in_ranges, numbered, running, spread_join, value_counts
 
 
 @pytest.fixture(scope="module")
@@ -22,11 +22,18 @@ def rows(spark):
     )
 
 
+@pytest.fixture
+def ranges(spark, request):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(request.param))
+    yield request.param
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 @pytest.mark.parametrize("inclusive", [False, True])
-@pytest.mark.parametrize("widths", [(10,), (10, 100), (1_000_000,)])
-def test_running_equals_plain_window(rows, inclusive, widths):
-    blocks = [F.floor(F.col("t") / w) for w in widths]
-    ours = running(rows, ["k", "k2"], ["t", "id"], blocks, {"n": F.lit(1).cast("long"), "s": F.col("amount")}, inclusive)
+@pytest.mark.parametrize("ranges", [1, 4, 60], indirect=True)
+def test_running_equals_plain_window(rows, inclusive, ranges):
+    ours = running(rows, ["k", "k2"], ["t", "id"], {"n": F.lit(1).cast("long"), "s": F.col("amount")}, inclusive)
     w = Window.partitionBy("k", "k2").orderBy("t", "id").rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     plain = rows.withColumn("n", F.sum(F.lit(1).cast("long")).over(w)).withColumn("s", F.sum("amount").over(w))
     same = plain.join(ours.select("id", F.col("n").alias("n2"), F.col("s").alias("s2")), "id")
@@ -34,20 +41,40 @@ def test_running_equals_plain_window(rows, inclusive, widths):
     assert same.count() == 3_000
 
 
-def test_a_window_holds_one_block_of_a_hot_key(rows):
-    """The largest window partition is a block of the hot key, not the key."""
-    sizes = rows.groupBy("k", F.floor(F.col("t") / 10)).count().agg(F.max("count")).first()[0]
-    assert sizes < 30 < rows.where("k = 1").count()
+@pytest.mark.parametrize("ranges", [40], indirect=True)
+def test_empty_values_and_values_of_one_key(spark, ranges):
+    """A total without values stays NULL over ranges; the first rows of a key never see another key's total."""
+    rows = spark.range(2_000).select("id", F.floor(F.col("id") / 900).alias("k"), F.when(F.col("id") % 900 >= 500, F.lit(2.5)).alias("v"))
+    done = running(rows, ["k"], ["id"], {"s": F.col("v"), "n": F.lit(1)})
+    assert done.where(~F.col("s").eqNullSafe(F.when(F.col("id") % 900 > 500, (F.col("id") % 900 - 500) * 2.5))).count() == 0
+    assert done.where(F.coalesce("n", F.lit(0)) != F.col("id") % 900).count() == 0
+    assert running(rows.limit(0), ["k"], ["id"], {"s": F.col("v")}).count() == 0
+
+
+@pytest.mark.parametrize("ranges", [60], indirect=True)
+def test_a_window_holds_one_range_of_a_hot_key(rows, ranges):
+    """The largest window partition is a range of the hot key, not the key; few rows hand totals on."""
+    dealt = in_ranges(rows, ["k"], ["t", "id"], {"n": F.lit(1)})
+    sizes = dealt.groupBy("_range", "_key0").count().agg(F.max("count")).first()[0]
+    assert sizes < 3_000 / 60 * 4 < rows.where("k = 1").count()
+    assert dealt.where("_row is null").count() <= 60 * 59 / 2
+
+
+def test_two_exchanges_of_the_rows(rows):
+    """One by range, one by range and key; the second has no other purpose than to let a plain window run."""
+    plan = running(rows, ["k"], ["t", "id"], {"n": F.lit(1)})._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange rangepartitioning") == 1 and plan.count("Exchange hashpartitioning") == 1
+    assert "Join" not in plan
 
 
 def test_numbered_is_one_to_n(rows):
-    got = [r["id2"] for r in numbered(rows, ["t", "id"], [F.floor(F.col("t") / 50)], "id2").orderBy("t", "id").collect()]
+    got = [r["id2"] for r in numbered(rows, ["t", "id"], "id2").orderBy("t", "id").collect()]
     assert got == list(range(1, 3_001))
 
 
 def test_exact_median(rows):
     counts = value_counts(rows, ["k"], "amount")
-    got = {r["k"]: r["median"] for r in exact_median(counts.where("k is not null"), ["k"], "amount", [F.floor(F.col("amount") / 100)]).collect()}
+    got = {r["k"]: r["median"] for r in exact_median(counts.where("k is not null"), ["k"], "amount").collect()}
     want = {}
     for r in rows.where("k is not null").collect():
         want.setdefault(r["k"], []).append(float(r["amount"]))
@@ -62,20 +89,19 @@ def test_spread_join_keeps_every_row_once(spark, rows):
     assert spread_join(rows, look_up, ["k"], "id", how="inner").count() == rows.where("k in (1, 2)").count()
 
 
-def test_a_burst_at_one_instant_is_cut_by_ids(spark):
-    """However many rows share an instant, no window partition holds more than a block of ids."""
-    from qanat.operators import skew
-
+@pytest.mark.parametrize("ranges", [30], indirect=True)
+def test_a_burst_at_one_instant_is_cut_by_ids(spark, ranges):
+    """However many rows share an instant, no window partition holds more than a range of them."""
     rows = spark.range(300_000).select(F.col("id"), F.lit("2026-01-05 09:00:00").cast("timestamp_ntz").alias("t"), F.lit(1).alias("k"))
-    done = skew.running(rows, ["k"], ["t", "id"], skew.moment_blocks("t", "id"), {"n": F.lit(1).cast("long")})
+    done = running(rows, ["k"], ["t", "id"], {"n": F.lit(1).cast("long")})
     assert done.where("coalesce(n, 0) <> id").count() == 0
-    finest = skew.moment_blocks("t", "id")[0]
-    assert rows.groupBy("k", finest.alias("b")).count().agg(F.max("count")).first()[0] <= skew.BLOCK_IDS
+    dealt = in_ranges(rows, ["k"], ["t", "id"], {"n": F.lit(1)})
+    assert dealt.groupBy("_range").count().agg(F.max("count")).first()[0] <= 3 * 300_000 / 30
 
 
 def test_running_has_one_plan_and_starts_no_job(spark, rows):
     before = len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
     small, large = rows.limit(10), rows
-    plans = [running(df, ["k"], ["t", "id"], [F.floor(F.col("t") / 10)], {"n": F.lit(1)})._jdf.queryExecution().logical().toString() for df in (small, large)]
-    assert plans[0].count("Window") == plans[1].count("Window") > 1
+    plans = [running(df, ["k"], ["t", "id"], {"n": F.lit(1)})._jdf.queryExecution().logical().toString() for df in (small, large)]
+    assert plans[0].count("Window") == plans[1].count("Window") > 0
     assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) == before
