@@ -24,10 +24,10 @@ def parse_ts(text: Column) -> Column:
     """ISO-8601 text to a UTC wall clock, whatever the session's zone; text that is no timestamp gives NULL.
 
     Text with a zone is an instant, counted from the epoch; text without one is UTC already."""
-    zoned = text.rlike(r"\d:\d.*([zZ]|[+-]\d{1,2}(:?\d{2}){0,2}|\s?[A-Za-z]+(/[A-Za-z_]+)*)\s*$")
-    micros = F.unix_micros(text.try_cast("timestamp"))
-    passed = F.make_dt_interval(secs=(micros.cast("decimal(20,0)") / F.lit(1_000_000)).cast("decimal(18,6)"))
-    return F.when(zoned, ts_lit(EPOCH) + passed).otherwise(text.try_cast("timestamp_ntz"))
+    clock = F.instr(text, ":")
+    zoned = (clock > 0) & F.substring(text, clock, F.lit(60)).rlike("[A-Za-z+-]")  # letters and signs after the hour are a zone's
+    instant = F.timestamp_add("MICROSECOND", F.unix_micros(text.try_cast("timestamp")), ts_lit(EPOCH))
+    return F.when(zoned, instant).otherwise(text.try_cast("timestamp_ntz"))
 
 
 def parse_date(text: Column) -> Column:

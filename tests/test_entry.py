@@ -12,7 +12,8 @@ SHOWS = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()
 
 
 def shown(folder: str) -> list[str]:
-    done = subprocess.run([sys.executable, "-B", "-c", SHOWS], cwd=folder, capture_output=True, text=True, check=False)
+    own = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}  # else what was left out is found elsewhere
+    done = subprocess.run([sys.executable, "-B", "-c", SHOWS], cwd=folder, env=own, capture_output=True, text=True, check=False)
     assert done.returncode == 0, done.stderr
     return done.stdout.split()
 
