@@ -20,7 +20,12 @@ BUCKETS = ("other", "supplier", "payroll", "transfer")
 
 def cash_position_daily(accounts: DataFrame, transactions: DataFrame, ctx: RunContext) -> DataFrame:
     """One row per account for the business date; accounts the lake has not seen keep the ledger's balance."""
-    joined = accounts.join(latest_balance(transactions), "account_id", "left")
+    return cash_position(accounts, latest_balance(transactions), ctx)
+
+
+def cash_position(accounts: DataFrame, balances: DataFrame, ctx: RunContext) -> DataFrame:
+    """As above, from (account_id, lake_balance, last_booked_at)."""
+    joined = accounts.join(balances, "account_id", "left")
     seen = F.col("lake_balance").isNotNull()
     return joined.select(
         ctx.as_of.alias("position_date"),
@@ -99,11 +104,16 @@ def payment_features(
     ]
     source = payments.select("event_id", "payment_id", "status", *wanted)
     pay = keep(executed_payments(source).select("payment_id", *wanted))
+    return features(pay, first_debit(transactions), ctx, first_time_after_days)
+
+
+def features(pay: DataFrame, debits: DataFrame, ctx: RunContext, first_time_after_days: int = FIRST_TIME_AFTER_DAYS) -> DataFrame:
+    """As above, from executed payments (one row each) and the first debit of each (payment_id, transaction_id)."""
     history_start = pay.groupBy("company_id").agg(F.min("executed_at").alias("_company_first"))
     rows = (
         pay.join(prior_payments(pay), "payment_id")
         .join(same_day_twins(pay), "payment_id")
-        .join(first_debit(transactions), "payment_id", "left")
+        .join(debits, "payment_id", "left")
     )
     rows = spread_join(rows, history_start, ["company_id"], "payment_id")
 

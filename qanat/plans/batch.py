@@ -16,9 +16,10 @@ from .. import schemas
 from ..context import RunContext, Settings, clock
 from ..functions.times import ts_lit
 from ..operators import gold as g
+from ..operators import gold_state as state
 from ..operators import posting, serving, silver
 from ..sources.events import read_stream
-from ..sources.lake import BATCH, Lake
+from ..sources.lake import BATCH, BUCKET, Lake
 from ..sources.ledger import reference_accounts, scheduled_payments
 from ..sources.settle import settle
 from ..streaming.ingest import drain, new_events
@@ -82,51 +83,110 @@ def run_silver(job: Job, ctx: RunContext) -> bool:
     return True
 
 
-def _only(rows: DataFrame, companies: DataFrame | None) -> DataFrame:
-    return rows if companies is None else rows.join(companies, "company_id", "left_semi")
-
-
-def _with_others(job: Job, table: str, rows: DataFrame, companies: DataFrame | None) -> DataFrame:
-    """The recomputed rows, and the stored ones of the companies that did not move."""
-    if companies is None or not job.lake.exists("gold", table):
-        return rows
-    return rows.unionByName(job.lake.read("gold", table).join(companies, "company_id", "left_anti"))
+def _distinct(keys: DataFrame, number) -> list[int]:
+    """Bucket numbers of keys: as many as a table has buckets at most."""
+    return sorted(r[0] for r in keys.select(number.alias("n")).distinct().collect())
 
 
 def run_gold(job: Job, ctx: RunContext, force: bool = False) -> bool:
-    """Recompute gold when silver moved or a gold table is missing; trace `gold`."""
+    """Merge new silver rows into gold's state and recompute the companies that moved; trace `gold`.
+
+    Only buckets of the state with a company or account that moved are read and written. The first run, a forced one and
+    one after the loss of a table build the state anew from silver."""
     lake, target = job.lake, job.lake.progress("silver")
     ids = moved(job, "gold")
     fresh = not ids.isEmpty()
-    missing = not lake.exists("gold", "cash_position_daily") or any(
+    through = lake.manifest()["through"]
+    missing = through is None or not lake.exists("gold", "cash_position_daily") or any(
         lake.exists("silver", source) and not lake.exists("gold", table)
         for source, table in (("transactions", "daily_flows"), ("payments", "payment_features"))
     )
     if not (fresh or missing or force):
         lake.advance("gold", target)
         return False
-    accounts = reference_accounts(job.ledger)
-    tx, pay = (lake.read_or_empty("silver", t) for t in TABLES)
-    lake.put_partitions(g.cash_position_daily(accounts, tx, ctx), "gold", "cash_position_daily")
-    # Every figure of these two tables depends on one company's rows only, so a company that did not move
-    # keeps its rows; the first run and a forced one compute all companies.
-    companies = None if missing or force else settle(ids.select("company_id").distinct())
-    tables = {}
-    if lake.exists("silver", "payments"):
-        mine = _only(pay, companies), _only(tx, companies)
-        fresh_rows = g.payment_features(*mine, ctx, keep=settle)
-        tables["gold", "payment_features"] = _with_others(job, "payment_features", fresh_rows, companies)
-    if lake.exists("silver", "transactions"):
-        fresh_rows = g.daily_flows(_only(tx, companies), accounts, ctx)
-        tables["gold", "daily_flows"] = _with_others(job, "daily_flows", fresh_rows, companies)
-    if tables:
-        lake.publish(tables)
+    rebuild = missing or force
+    if rebuild or through < target:
+        _merge_gold(job, ctx, None if rebuild else through, target)
     if fresh:
         _trace(job, ids, "gold", ctx)
     lake.advance("gold", target)
     return True
 
 
+def _merge_gold(job: Job, ctx: RunContext, through: int | None, target: int) -> None:
+    """State and gold with the silver rows of batches after `through`, or of all (None)."""
+    lake, generation = job.lake, job.lake.manifest()["generation"] + 1
+    accounts = reference_accounts(job.ledger)
+    tx, pay = (lake.read_or_empty("silver", t) for t in TABLES)
+    if through is None:
+        new_tx, new_pay, older = tx, pay, tx.limit(0)
+    else:
+        new_tx, new_pay = (t.where(F.col(BATCH) > through) for t in (tx, pay))
+        older = tx.limit(0)
+        if lake.exists("silver", "transactions"):
+            older = lake.holding("silver", "transactions", "transaction_id", new_tx).where(F.col(BATCH) <= through)
+    changes = settle(state.posting_changes(new_tx, older))
+    companies = settle(
+        new_tx.select("company_id").union(new_pay.select("company_id")).union(changes.select("company_id")).distinct()
+    )
+
+    def touched(layer: str, table: str, keys: DataFrame) -> list[int] | None:
+        return None if through is None else _distinct(keys, lake.bucket_of(layer, table))
+
+    by_company = touched("state", "payments", companies)
+    by_account = touched("state", "balances", new_tx)
+    only = {"balances": by_account, "day_sums": by_company, "payments": by_company, "debits": by_company}
+
+    def old(table: str) -> DataFrame:
+        return lake.read_buckets("state", table, [] if through is None else only[table])
+
+    merged = {
+        "balances": state.balances(old("balances"), new_tx),
+        "day_sums": state.day_sums(old("day_sums"), changes),
+        "payments": state.payments(old("payments"), new_pay),
+        "debits": state.debits(old("debits"), new_tx),
+    }
+    now = {t: lake.stage(df, "state", t, generation) for t, df in merged.items()}
+
+    def with_others(table: str, rows: DataFrame) -> DataFrame:
+        """Of the touched buckets also the rows of companies that did not move."""
+        if through is None:
+            return rows
+        return rows.unionByName(lake.read_buckets("gold", table, by_company).join(companies, "company_id", "left_anti"))
+
+    mine = {t: now[t].join(companies, "company_id", "left_semi") for t in ("day_sums", "payments", "debits")}
+    gold = {}
+    if lake.exists("silver", "payments"):
+        done = g.features(mine["payments"].drop("event_id"), mine["debits"].drop("company_id"), ctx)
+        gold["payment_features"] = with_others("payment_features", done)
+    if lake.exists("silver", "transactions"):
+        gold["daily_flows"] = with_others("daily_flows", state.flows(mine["day_sums"], accounts, ctx.run_col, ctx.now_col))
+    for table, df in gold.items():
+        lake.stage(df, "gold", table, generation)
+    _put_positions(job, ctx, accounts, now["balances"], by_account)
+    published = {("state", t): only[t] for t in merged} | {("gold", t): by_company for t in gold}
+    lake.publish_buckets(generation, published, target)
+
+
+def _put_positions(job: Job, ctx: RunContext, accounts: DataFrame, balances: DataFrame, only: list[int] | None) -> None:
+    """Today's cash positions: all of them at the first batch of a date, later those of touched buckets and new accounts."""
+    lake = job.lake
+    number = lake.bucket_of("state", "balances")
+    if only is not None and lake.exists("gold", "cash_position_daily"):
+        today = lake.read("gold", "cash_position_daily").where(F.col("position_date") == ctx.as_of).select("account_id")
+        if not today.isEmpty():
+            fresh = _distinct(accounts.join(today, "account_id", "left_anti"), number)
+            balances = balances.unionByName(lake.read_buckets("state", "balances", sorted(set(fresh) - set(only))))
+            only = sorted({*only, *fresh})
+            accounts = accounts.where(number.isin(only))
+        else:
+            rest = sorted({int(b) for b in lake.manifest()["tables"].get("state.balances", {})} - set(only))
+            balances = balances.unionByName(lake.read_buckets("state", "balances", rest))
+    latest = balances.select("account_id", F.col("balance_after").alias("lake_balance"), F.col("booked_at").alias("last_booked_at"))
+    rows = g.cash_position(accounts, latest, ctx)
+    lake.put_partitions(rows.withColumn(BUCKET, number), "gold", "cash_position_daily")
+
+
 def run_serving(job: Job, ctx: RunContext) -> dict:
     """Refresh the positions of the companies that moved, trace `serving`, and log the run in any case."""
     lake = job.lake

@@ -1,10 +1,12 @@
 """Medallion, serving and model tables as directories of columnar files.
 
-Three kinds of write, none of which a retry can double:
-- `put_batch`  replaces one `batch` partition (bronze and silver: a replayed batch replaces itself);
+Four kinds of write, none of which a retry can double:
+- `put_batch`  replaces one `batch` partition (bronze and silver: a replayed batch replaces itself) and notes the ranges
+  of its keys, so that a look-up of a few keys reads the batches that may hold them;
 - `overwrite`  writes a new version directory, then moves one small pointer file; several tables can be
   published by the same move, and readers keep the version they started with;
-- `put_partitions` replaces the partitions present in the frame (daily tables).
+- `put_partitions` replaces the partitions present in the frame (daily tables);
+- `publish_buckets` lets staged buckets of several tables take the place of older ones by one move of the manifest.
 
 The pointer and progress files are the only things the driver writes itself. One writer at a time.
 """
@@ -12,12 +14,15 @@ The pointer and progress files are the only things the driver writes itself. One
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..operators import gold_state
 from ..operators.upserts import insert_new, replace_keys
 
 BATCH = "batch"
@@ -34,13 +39,25 @@ SCHEMAS = {
     ("serving", "models"): schemas.SERVING_MODELS,
     ("ops", "pipeline_trace"): schemas.TRACE,
     ("ops", "pipeline_runs"): schemas.RUNS,
+    **{("state", t): schema for t, schema in gold_state.SCHEMAS.items()},
 }
+BUCKET = "_bucket"
+# Tables in buckets by the hash of a key; the manifest says which generation of a bucket counts.
+BUCKETED = {
+    ("gold", "payment_features"): "company_id",
+    ("gold", "daily_flows"): "company_id",
+    **{("state", t): key for t, key in gold_state.KEYS.items()},
+}
+# Long keys whose ranges are noted for each batch.
+NOTED = {("silver", "transactions"): ("event_id", "transaction_id"), ("silver", "payments"): ("event_id",)}
+RANGES = 64  # ranges of a set of keys at most
+NOTES = "key string, low long, high long, batch long"
 # Tables kept as partitions in place; all others are versioned.
 PARTITIONED = {
     ("bronze", "events"): BATCH,
     ("silver", "transactions"): BATCH,
     ("silver", "payments"): BATCH,
-    ("gold", "cash_position_daily"): "position_date",
+    ("gold", "cash_position_daily"): ("position_date", BUCKET),
     ("serving", "cash_position"): "as_of_date",
     ("ops", "pipeline_trace"): "stage",
     ("ops", "pipeline_runs"): None,
@@ -82,6 +99,14 @@ class Files:
         finally:
             stream.close()
 
+    def names(self, path: str) -> list[str]:
+        p, fs = self._open(path)
+        return [c.getPath().getName() for c in fs.listStatus(p)] if fs.exists(p) else []
+
+    def delete(self, path: str) -> None:
+        p, fs = self._open(path)
+        fs.delete(p, True)
+
     def write(self, path: str, text: str) -> None:
         """Replace the file in one rename."""
         tmp, fs = self._open(path + ".tmp")
@@ -97,8 +122,9 @@ class Files:
 
 
 class Lake:
-    def __init__(self, spark: SparkSession, root: str, table_format: str = "parquet"):
-        self.spark, self.root, self.format = spark, root.rstrip("/"), table_format
+    def __init__(self, spark: SparkSession, root: str, table_format: str = "parquet", buckets: int = 256):
+        """buckets: of a new lake; an older one keeps the number it has."""
+        self.spark, self.root, self.format, self._buckets = spark, root.rstrip("/"), table_format, buckets
         self.files = Files(spark)
 
     # ------------------------------------------------------------------ places
@@ -118,6 +144,9 @@ class Lake:
         self.files.write(f"{self.root}/_state/{name}.json", json.dumps({**self._state(name), **changes}, sort_keys=True))
 
     def version(self, layer: str, table: str) -> int | None:
+        if (layer, table) in BUCKETED:
+            held = self.manifest()["tables"].get(f"{layer}.{table}")
+            return None if held is None else max(held.values(), default=0)
         return self._state("published").get(f"{layer}.{table}")
 
     def progress(self, stage: str) -> int:
@@ -138,7 +167,11 @@ class Lake:
         reader = self.spark.read.format(self.format)
         if (layer, table) in SCHEMAS:
             reader = reader.schema(SCHEMAS[layer, table])
+        if (layer, table) in BUCKETED:
+            return self.read_buckets(layer, table)
         partitioned = (layer, table) in PARTITIONED
+        if BUCKET in (PARTITIONED.get((layer, table)) or ()):
+            return reader.load(self.path(layer, table)).drop(BUCKET)
         return reader.load(self.path(layer, table, None if partitioned else self.version(layer, table)))
 
     def read_or_none(self, layer: str, table: str) -> DataFrame | None:
@@ -153,7 +186,7 @@ class Lake:
     def _put(self, df: DataFrame, layer: str, table: str, mode: str) -> None:
         writer = df.write.format(self.format).mode(mode).option("partitionOverwriteMode", "dynamic")
         by = PARTITIONED[layer, table]
-        (writer.partitionBy(by) if by else writer).save(self.path(layer, table))
+        (writer.partitionBy(*([by] if isinstance(by, str) else by)) if by else writer).save(self.path(layer, table))
 
     def append(self, df: DataFrame, layer: str, table: str) -> None:
         self._put(df, layer, table, "append")
@@ -164,6 +197,79 @@ class Lake:
 
     def put_batch(self, df: DataFrame, layer: str, table: str, batch: int) -> None:
         self.put_partitions(df.withColumn(BATCH, F.lit(batch).cast("long")), layer, table)
+        if keys := NOTED.get((layer, table)):
+            mine = self.read(layer, table).where(F.col(BATCH) == batch)
+            notes = [(k, low, high, batch) for k in keys for low, high in key_ranges(mine, k)]
+            frame = self.spark.createDataFrame(notes or [("", 0, 0, batch)], NOTES).coalesce(1)
+            frame.write.format(self.format).mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BATCH).save(self._notes(layer, table))
+
+    # ------------------------------------------------------------------ look-ups by key
+
+    def _notes(self, layer: str, table: str) -> str:
+        return self.path("_keys", f"{layer}_{table}")
+
+    def holding(self, layer: str, table: str, key: str, wanted: DataFrame) -> DataFrame:
+        """The rows of the batches and key ranges that may hold a wanted key.
+
+        A batch whose ranges are not noted, because a writer died in between, is always read."""
+        ranges = key_ranges(wanted, key)
+        all_batches = {n.partition("=")[2] for n in self.files.names(self.path(layer, table)) if n.startswith(f"{BATCH}=")}
+        noted = {n.partition("=")[2] for n in self.files.names(self._notes(layer, table)) if n.startswith(f"{BATCH}=")}
+        batches = {int(b) for b in all_batches - noted}
+        if noted and ranges:
+            notes = self.spark.read.schema(NOTES).format(self.format).load(self._notes(layer, table)).where(F.col("key") == key)
+            hit = notes.where(any_of([(F.col("low") <= high) & (F.col("high") >= low) for low, high in ranges]))
+            batches |= {r[0] for r in hit.select(BATCH).distinct().collect()}
+        inside = any_of([F.col(key).between(low, high) for low, high in ranges])
+        return self.read(layer, table).where(F.col(BATCH).isin(sorted(batches)) & inside)
+
+    # ------------------------------------------------------------------ buckets
+
+    def manifest(self) -> dict:
+        """{buckets, generation, through, tables: {name: {bucket: generation}}, superseded: [folder]}."""
+        return {"buckets": self._buckets, "generation": 0, "through": None, "tables": {}, "superseded": []} | self._state("buckets")
+
+    def _bucket_path(self, layer: str, table: str, generation: int, number: str | int) -> str:
+        return f"{self.path(layer, table)}/g{generation:06d}/{BUCKET}={number}"
+
+    def bucket_of(self, layer: str, table: str) -> Column:
+        return gold_state.bucket(BUCKETED[layer, table], self.manifest()["buckets"])
+
+    def read_buckets(self, layer: str, table: str, only: Sequence[int] | None = None) -> DataFrame:
+        """The table, or some of its buckets: no file of another one is listed."""
+        held = self.manifest()["tables"].get(f"{layer}.{table}", {})
+        chosen = held if only is None else {str(b): held[str(b)] for b in only if str(b) in held}
+        if not chosen:
+            return self.spark.createDataFrame([], SCHEMAS[layer, table])
+        paths = [self._bucket_path(layer, table, g, b) for b, g in chosen.items()]
+        return self.spark.read.format(self.format).schema(SCHEMAS[layer, table]).load(paths)
+
+    def stage(self, df: DataFrame, layer: str, table: str, generation: int) -> DataFrame:
+        """Write df's buckets for a generation that nobody reads yet; returns them as written."""
+        path = f"{self.path(layer, table)}/g{generation:06d}"
+        rows = df.withColumn(BUCKET, self.bucket_of(layer, table)).hint("rebalance", BUCKET)  # a hot company is split
+        rows.write.format(self.format).mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(BUCKET).save(path)
+        return self.spark.read.format(self.format).schema(SCHEMAS[layer, table]).load(path).drop(BUCKET)
+
+    def publish_buckets(self, generation: int, touched: Mapping[tuple[str, str], Sequence[int] | None], through: int) -> None:
+        """Let the staged buckets of a generation count, all at once. touched: the buckets that were computed, None for
+        all; one that was computed and has no rows is gone. What was replaced is deleted by the next call, so that readers
+        of the state before can end."""
+        before = self.manifest()
+        for folder in before["superseded"]:
+            self.files.delete(folder)
+        tables, superseded = dict(before["tables"]), []
+        for (layer, table), only in touched.items():
+            name = f"{layer}.{table}"
+            old = tables.get(name, {})
+            gone = old if only is None else {str(b): old[str(b)] for b in only if str(b) in old}
+            written = {n.partition("=")[2] for n in self.files.names(f"{self.path(layer, table)}/g{generation:06d}") if n.startswith(f"{BUCKET}=")}
+            tables[name] = {b: g for b, g in old.items() if b not in gone} | {b: generation for b in sorted(written)}
+            superseded += [self._bucket_path(layer, table, g, b) for b, g in gone.items()]
+        state = {"buckets": before["buckets"], "generation": generation, "through": through, "tables": tables, "superseded": superseded}
+        self._put_state("buckets", state)
+
+    # ------------------------------------------------------------------ tables
 
     def overwrite(self, df: DataFrame, layer: str, table: str) -> int:
         """Replace a whole table; its schema may change."""
@@ -186,10 +292,8 @@ class Lake:
         """
         new = df.dropDuplicates([key])
         if self.exists(layer, table):
-            # A replayed batch re-inserts its own rows, so only other batches hide a key. Ids grow, so the
-            # range of the new keys lets the scan skip the row groups of older files.
-            low, high = ((df if keys_in is None else keys_in).agg(f(key)).scalar() for f in (F.min, F.max))
-            old = self.read(layer, table).where((F.col(BATCH) != batch) & F.col(key).between(low, high))
+            # A replayed batch re-inserts its own rows, so only other batches hide a key.
+            old = self.holding(layer, table, key, df if keys_in is None else keys_in).where(F.col(BATCH) != batch)
             new = new.join(old.select(key), key, "left_anti")
         self.put_batch(new, layer, table, batch)
 
@@ -201,9 +305,10 @@ class Lake:
             touched = self.read(layer, table).join(df.select(by).distinct(), by, "left_semi")
             merged = replace_keys(touched, df, keys)
         # The frame reads the partitions it replaces, so it is set down before they go.
-        stage = self.path("_staged", f"{layer}_{table}")
+        stage = self.path("_staged", f"{layer}_{table}_{uuid.uuid4().hex}")
         merged.write.format(self.format).mode("overwrite").option("partitionOverwriteMode", "static").save(stage)
         self.put_partitions(self.spark.read.format(self.format).schema(merged.schema).load(stage), layer, table)
+        self.files.delete(stage)
 
     def replace_by_key(self, df: DataFrame, layer: str, table: str, keys: Sequence[str]) -> int:
         """A versioned table with the rows of df's keys replaced."""
@@ -212,7 +317,30 @@ class Lake:
         return self.overwrite(merged, layer, table)
 
     def insert_absent(self, df: DataFrame, layer: str, table: str, keys: Sequence[str]) -> None:
-        """Append rows whose keys the table does not hold: the first row of a key stays."""
+        """Append rows whose keys the table does not hold: the first row of a key stays.
+
+        The first key is a long; rows are written in its order, so that the ranges of the new keys are all that is read of
+        the older files."""
         if self.exists(layer, table):
-            df = insert_new(self.read(layer, table), df, keys)
-        self.append(df, layer, table)
+            ranges = key_ranges(df, keys[0])
+            old = self.read(layer, table).where(any_of([F.col(keys[0]).between(low, high) for low, high in ranges]))
+            by = PARTITIONED[layer, table]
+            if by in keys:  # only the partitions that the new rows go to
+                old = old.where(F.col(by).isin([r[0] for r in df.select(by).distinct().collect()]))
+            df = insert_new(old, df, keys)
+        self.append(df.sortWithinPartitions(*keys[:1]), layer, table)
+
+
+def any_of(conditions: Sequence[Column]) -> Column:
+    return reduce(lambda a, b: a | b, conditions, F.lit(False))
+
+
+def key_ranges(rows: DataFrame, key: str) -> list[tuple[int, int]]:
+    """At most RANGES intervals that cover the keys of a frame: its span is cut evenly, each piece as narrow as its keys."""
+    low, high = rows.agg(F.min(key), F.max(key)).first()
+    if low is None:
+        return []
+    width = (high - low) // RANGES + 1
+    piece = F.floor((F.col(key).cast("decimal(20,0)") - F.lit(low).cast("decimal(20,0)")) / F.lit(width).cast("decimal(20,0)"))
+    found = rows.where(F.col(key).isNotNull()).groupBy(piece.alias("_piece")).agg(F.min(key).alias("low"), F.max(key).alias("high"))
+    return sorted((r["low"], r["high"]) for r in found.collect())
