@@ -2,37 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.times import time_block
+from .skew import previous
 
 SERIES = ("region", "workload")
-SLICE_SECONDS = 60
 
 
 def counter_increases(samples: DataFrame) -> DataFrame:
     """Each sample's increase since the series' previous one; after a reset the counter's own value counts.
 
-    The previous value is the neighbour's inside a time slice, and the last one of the slice before for a
-    slice's first sample, so a busy series is spread over its slices.
+    Samples are dealt by ranges of series and time, and each range hands its last sample on, so neither a busy series nor
+    a busy minute is one task.
     """
-    sliced = samples.withColumn("_slice", time_block(F.col("ts"), SLICE_SECONDS))
-    near = Window.partitionBy(*SERIES, "_slice").orderBy("ts", "value")
-    ends = sliced.groupBy(*SERIES, "_slice").agg(F.max_by("value", F.struct("ts", "value")).alias("_last"))
-    by_slice = Window.partitionBy(*SERIES).orderBy("_slice")
-    carried = ends.select(*SERIES, "_slice", F.lag("_last").over(by_slice).alias("_carry"))
-    before = F.coalesce("_before", "_carry")
-    return (
-        sliced.withColumn("_before", F.lag("value").over(near))
-        .join(carried, [*SERIES, "_slice"])
-        .select(
-            "ts",
-            *SERIES,
-            F.when(F.col("value") < before, F.col("value")).otherwise(F.col("value") - before).alias("increase"),
-        )
-        .where(F.col("increase").isNotNull())
-    )
+    value, before = F.col("value"), F.col("_before")
+    found = previous(samples.select("ts", *SERIES, "value"), SERIES, ("ts", "value"), {"_before": value})
+    increase = F.when(value < before, value).otherwise(value - before)
+    return found.select("ts", *SERIES, increase.alias("increase")).where(F.col("increase").isNotNull())
 
 
 def request_rate(samples: DataFrame, by: tuple[str, ...] = ("region",), seconds: int = 60) -> DataFrame:

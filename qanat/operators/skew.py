@@ -31,8 +31,9 @@ def _equal_tail(batch: pa.RecordBatch, keys: Sequence[str], last: Sequence[pa.Sc
     return batch.num_rows if same is None else pc.sum(same).as_py() or 0
 
 
-def _carry(ranges: int, keys: Sequence[str], values: Sequence[str]):
-    """Over the sorted rows of one range: the rows, and one row for each later range with the total of the last key."""
+def _carry(ranges: int, keys: Sequence[str], values: Sequence[str], last_row: Sequence[str] = ()):
+    """Over the sorted rows of one range: the rows, and one row for each later range with the total of the last key, or
+    with the columns `last_row` of the last row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId()
@@ -43,10 +44,10 @@ def _carry(ranges: int, keys: Sequence[str], values: Sequence[str]):
             schema = batch.schema
             ends = [batch.column(k)[batch.num_rows - 1] for k in keys]
             tail = _equal_tail(batch, keys, ends)
-            sums = {v: pc.sum(batch.column(v).slice(batch.num_rows - tail)).as_py() for v in values}
+            sums = {} if last_row else {v: pc.sum(batch.column(v).slice(batch.num_rows - tail)).as_py() for v in values}
             if last is not None and tail == batch.num_rows and all(a.equals(b) for a, b in zip(last, ends)):
                 sums = {v: totals[v] if s is None else s if totals[v] is None else totals[v] + s for v, s in sums.items()}
-            last, totals = ends, sums
+            last, totals = ends, sums or {c: batch.column(c)[batch.num_rows - 1].as_py() for c in last_row}
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([number] * batch.num_rows, pa.int64())], names=[*schema.names, RANGE])
         later = range(number + 1, ranges)
         if last is not None and len(later):
@@ -57,9 +58,10 @@ def _carry(ranges: int, keys: Sequence[str], values: Sequence[str]):
     return run
 
 
-def in_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: Mapping[str, Column]) -> DataFrame:
+def in_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: Mapping[str, Column], hand_last: bool = False) -> DataFrame:
     """The rows of df as `_row`, dealt by ranges of (keys, order), with their keys, order and values beside them and the
-    number of their range; rows without `_row` hand the total of the key that an earlier range ends with to this one."""
+    number of their range; rows without `_row` hand the total of the key that an earlier range ends with to this one, or
+    that range's last row."""
     ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     key_names, order_names = [f"_key{i}" for i in range(len(keys))], [f"_order{i}" for i in range(len(order))]
     values = {f"_value_{n}": c for n, c in sums.items()}
@@ -71,9 +73,10 @@ def in_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: Ma
     by = key_names + order_names
     sorted_rows = rows.repartitionByRange(ranges, *by).sortWithinPartitions(*by)
     # totals are wider than the values that they add up
-    widened = sorted_rows.select("_row", *by, *[_as_total(rows.schema[n].dataType.simpleString(), n) for n in values])
+    as_handed = [F.col(n) if hand_last else _as_total(rows.schema[n].dataType.simpleString(), n) for n in values]
+    widened = sorted_rows.select("_row", *by, *as_handed)
     schema = StructType([StructField(f.name, f.dataType) for f in widened.schema.fields]).add(RANGE, LongType())
-    return widened.mapInArrow(_carry(ranges, key_names, list(values)), schema)
+    return widened.mapInArrow(_carry(ranges, key_names, list(values), [*order_names, *values] if hand_last else ()), schema)
 
 
 def _as_total(kind: str, name: str) -> Column:
@@ -101,6 +104,14 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: Mapp
     return done.select(*[F.col("_row")[c].alias(c) for c in df.columns], *sums)
 
 
+def previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Mapping[str, Column]) -> DataFrame:
+    """Values of the row before each row of its key, whatever range that one is in; NULL for the first row of a key."""
+    dealt = in_ranges(df, keys, order, values, hand_last=True)
+    w = Window.partitionBy(RANGE, *[f"_key{i}" for i in range(len(keys))]).orderBy(*[f"_order{i}" for i in range(len(order))], F.col("_row").isNotNull())
+    done = dealt.select("_row", *[F.lag(f"_value_{n}").over(w).alias(n) for n in values]).where(F.col("_row").isNotNull())
+    return done.select(*[F.col("_row")[c].alias(c) for c in df.columns], *values)
+
+
 def numbered(df: DataFrame, order: Sequence[str], name: str = "id") -> DataFrame:
     """Sequential numbers 1, 2, 3, ... in one global order, without a one-task sort."""
     return running(df, [], order, {name: F.lit(1).cast("long")}, inclusive=True)

@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from qanat.operators.skew import exact_median, in_ranges, numbered, running, spread_join, value_counts
+from qanat.operators.rates import counter_increases
+from qanat.operators.skew import exact_median, in_ranges, numbered, previous, running, spread_join, value_counts
 
 
 @pytest.fixture(scope="module")
@@ -105,3 +106,22 @@ def test_running_has_one_plan_and_starts_no_job(spark, rows):
     plans = [running(df, ["k"], ["t", "id"], {"n": F.lit(1)})._jdf.queryExecution().logical().toString() for df in (small, large)]
     assert plans[0].count("Window") == plans[1].count("Window") > 0
     assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) == before
+
+
+@pytest.mark.parametrize("ranges", [1, 7, 60], indirect=True)
+def test_previous_equals_lag(rows, ranges):
+    ours = previous(rows, ["k", "k2"], ["t", "id"], {"before": F.col("amount")})
+    w = Window.partitionBy("k", "k2").orderBy("t", "id")
+    same = rows.withColumn("b2", F.lag("amount").over(w)).join(ours.select("id", "before"), "id")
+    assert same.count() == 3_000 and same.where(~F.col("before").eqNullSafe(F.col("b2"))).count() == 0
+
+
+@pytest.mark.parametrize("ranges", [50], indirect=True)
+def test_a_million_samples_of_one_series_in_a_minute_are_spread(spark, ranges):
+    """A counter that counts every sample and starts over every 250,000: all increases but the first sample's are 1."""
+    at = (F.lit("2026-01-05 09:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=(F.col("id") / 20_000).cast("decimal(18,6)"))).alias("ts")
+    samples = spark.range(1_000_000).select(at, F.lit("r").alias("region"), F.lit("w").alias("workload"), (F.col("id") % 250_000 + 1).cast("double").alias("value"))
+    found = counter_increases(samples)
+    assert found.count() == 999_999 and found.where("increase <> 1").count() == 0
+    dealt = in_ranges(samples, ["region", "workload"], ["ts", "value"], {"n": F.col("value")}, hand_last=True)
+    assert dealt.groupBy("_range").count().agg(F.max("count")).first()[0] <= 3 * 1_000_000 / 50
