@@ -85,7 +85,7 @@ FROM ranked WHERE n = 1
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), most=line_dedup.MOST)
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
