@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -152,4 +153,13 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, most: int = 4_000_000
             end = max(start + 1, int(np.searchsorted(sizes, before + most, side="right")))
             yield batch.slice(start, end - start)
             start = end
-    pa.default_memory_pool().release_unused()  # workers live on
+    release()
+
+
+def release() -> None:
+    """Give freed memory back to the system: workers live on, and the next stage's tables come on top of what they hold."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
