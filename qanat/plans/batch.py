@@ -18,6 +18,7 @@ from ..functions.times import ts_lit
 from ..operators import gold as g
 from ..operators import gold_state as state
 from ..operators import posting, serving, silver
+from ..sources.commits import Conflict
 from ..sources.events import read_stream
 from ..sources.lake import BATCH, BUCKET, Lake
 from ..sources.ledger import reference_accounts, scheduled_payments
@@ -29,6 +30,7 @@ log = logging.getLogger("qanat")
 
 SEED_BATCH = -10  # ingest batches of ledger history lie below every stream batch
 TABLES = ("transactions", "payments")
+ATTEMPTS = 5  # of a gold merge that another writer overtakes
 
 
 @dataclass
@@ -92,11 +94,23 @@ def run_gold(job: Job, ctx: RunContext, force: bool = False) -> bool:
     """Merge new silver rows into gold's state and recompute the companies that moved; trace `gold`.
 
     Only buckets of the state with a company or account that moved are read and written. The first run, a forced one and
-    one after the loss of a table build the state anew from silver."""
+    one after the loss of a table build the state anew from silver. A merge that another writer overtakes is done again
+    on that writer's state."""
+    for attempt in range(1, ATTEMPTS + 1):
+        try:
+            return _run_gold(job, ctx, force)
+        except Conflict:
+            if attempt == ATTEMPTS:
+                raise
+            log.info("gold was published by another writer; merging again")
+
+
+def _run_gold(job: Job, ctx: RunContext, force: bool) -> bool:
     lake, target = job.lake, job.lake.progress("silver")
     ids = moved(job, "gold")
     fresh = not ids.isEmpty()
-    through = lake.manifest()["through"]
+    state_before = lake.manifest()
+    through = state_before["through"]
     missing = through is None or not lake.exists("gold", "cash_position_daily") or any(
         lake.exists("silver", source) and not lake.exists("gold", table)
         for source, table in (("transactions", "daily_flows"), ("payments", "payment_features"))
@@ -106,16 +120,16 @@ def run_gold(job: Job, ctx: RunContext, force: bool = False) -> bool:
         return False
     rebuild = missing or force
     if rebuild or through < target:
-        _merge_gold(job, ctx, None if rebuild else through, target)
+        _merge_gold(job, ctx, None if rebuild else through, target, state_before["generation"])
     if fresh:
         _trace(job, ids, "gold", ctx)
     lake.advance("gold", target)
     return True
 
 
-def _merge_gold(job: Job, ctx: RunContext, through: int | None, target: int) -> None:
-    """State and gold with the silver rows of batches after `through`, or of all (None)."""
-    lake, generation = job.lake, job.lake.manifest()["generation"] + 1
+def _merge_gold(job: Job, ctx: RunContext, through: int | None, target: int, since: int) -> None:
+    """State and gold of generation `since` with the silver rows of batches after `through`, or of all (None)."""
+    lake, generation = job.lake, job.lake.next_generation()
     accounts = reference_accounts(job.ledger)
     tx, pay = (lake.read_or_empty("silver", t) for t in TABLES)
     if through is None:
@@ -165,7 +179,11 @@ def _merge_gold(job: Job, ctx: RunContext, through: int | None, target: int) ->
         lake.stage(df, "gold", table, generation)
     _put_positions(job, ctx, accounts, now["balances"], by_account)
     published = {("state", t): only[t] for t in merged} | {("gold", t): by_company for t in gold}
-    lake.publish_buckets(generation, published, target)
+    try:
+        lake.publish_buckets(generation, published, target, since)
+    except Conflict:  # the positions above may lack the other writer's postings
+        _put_positions(job, ctx, accounts, lake.read_buckets("state", "balances", by_account), by_account)
+        raise
 
 
 def _put_positions(job: Job, ctx: RunContext, accounts: DataFrame, balances: DataFrame, only: list[int] | None) -> None:

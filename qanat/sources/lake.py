@@ -3,17 +3,19 @@
 Four kinds of write, none of which a retry can double:
 - `put_batch`  replaces one `batch` partition (bronze and silver: a replayed batch replaces itself) and notes the ranges
   of its keys, so that a look-up of a few keys reads the batches that may hold them;
-- `overwrite`  writes a new version directory, then moves one small pointer file; several tables can be
-  published by the same move, and readers keep the version they started with;
+- `overwrite`  writes a new version folder, then commits it; several tables can be published by the same commit, and
+  readers keep the version they started with until VERSIONS newer ones have come;
 - `put_partitions` replaces the partitions present in the frame (daily tables);
-- `publish_buckets` lets staged buckets of several tables take the place of older ones by one move of the manifest.
+- `publish_buckets` lets staged buckets of several tables take the place of older ones by one commit of the manifest.
 
-The pointer and progress files are the only things the driver writes itself. One writer at a time.
+The logs of commits (`commits.py`) are the only things the driver writes itself. Versions and buckets may have several
+writers at once: folders are never shared, and what was computed from a state that another writer has replaced is
+computed again. A partition has one writer at a time.
 """
 
 from __future__ import annotations
 
-import json
+import time
 import uuid
 from collections.abc import Mapping, Sequence
 from functools import reduce
@@ -24,6 +26,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..operators import gold_state
 from ..operators.upserts import insert_new, replace_keys
+from .commits import TRIES, CommitLog, Conflict, Files
 
 BATCH = "batch"
 SCHEMAS = {
@@ -42,6 +45,7 @@ SCHEMAS = {
     **{("state", t): schema for t, schema in gold_state.SCHEMAS.items()},
 }
 BUCKET = "_bucket"
+VERSIONS = 3  # of a table that stay: the published one and those before it
 # Tables in buckets by the hash of a key; the manifest says which generation of a bucket counts.
 BUCKETED = {
     ("gold", "payment_features"): "company_id",
@@ -64,63 +68,6 @@ PARTITIONED = {
 }
 
 
-class Files:
-    """Small text files next to the tables, through the session's Hadoop file system."""
-
-    def __init__(self, spark: SparkSession):
-        context = spark.sparkContext
-        self._jvm, self._gateway = context._jvm, context._gateway
-        self._conf = context._jsc.hadoopConfiguration()
-
-    def _open(self, path: str):
-        p = self._jvm.org.apache.hadoop.fs.Path(path)
-        return p, p.getFileSystem(self._conf)
-
-    def exists(self, path: str) -> bool:
-        p, fs = self._open(path)
-        return fs.exists(p)
-
-    def has_data(self, path: str) -> bool:
-        """The folder holds a file or partition that is not hidden."""
-        p, fs = self._open(path)
-        return fs.exists(p) and any(c.getPath().getName()[0] not in "._" for c in fs.listStatus(p))
-
-    def make_dir(self, path: str) -> None:
-        p, fs = self._open(path)
-        fs.mkdirs(p)
-
-    def read(self, path: str) -> str | None:
-        p, fs = self._open(path)
-        if not fs.exists(p):
-            return None
-        stream = fs.open(p)
-        try:
-            return self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        finally:
-            stream.close()
-
-    def names(self, path: str) -> list[str]:
-        p, fs = self._open(path)
-        return [c.getPath().getName() for c in fs.listStatus(p)] if fs.exists(p) else []
-
-    def delete(self, path: str) -> None:
-        p, fs = self._open(path)
-        fs.delete(p, True)
-
-    def write(self, path: str, text: str) -> None:
-        """Replace the file in one rename."""
-        tmp, fs = self._open(path + ".tmp")
-        final, _ = self._open(path)
-        out = fs.create(tmp, True)
-        out.write(bytearray(text.encode()))
-        out.close()
-        rename = getattr(self._jvm.org.apache.hadoop.fs, "Options$Rename")
-        options = self._gateway.new_array(rename, 1)
-        options[0] = rename.OVERWRITE
-        context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self._conf)
-        context.rename(fs.makeQualified(tmp), fs.makeQualified(final), options)
-
-
 class Lake:
     def __init__(self, spark: SparkSession, root: str, table_format: str = "parquet", buckets: int = 256):
         """buckets: of a new lake; an older one keeps the number it has."""
@@ -129,32 +76,37 @@ class Lake:
 
     # ------------------------------------------------------------------ places
 
-    def path(self, layer: str, table: str, version: int | None = None) -> str:
+    def path(self, layer: str, table: str, folder: str | None = None) -> str:
         base = f"{self.root}/{layer}/{table}"
-        return base if version is None else f"{base}/v{version:06d}"
+        return base if folder is None else f"{base}/{folder}"
 
     def checkpoint(self, name: str) -> str:
         """A stream's checkpoint; it lives and dies with the lake's tables."""
         return f"{self.root}/_checkpoints/{name}"
 
+    def _log(self, name: str) -> CommitLog:
+        return CommitLog(self.files, f"{self.root}/_log/{name}")
+
     def _state(self, name: str) -> dict:
-        return json.loads(self.files.read(f"{self.root}/_state/{name}.json") or "{}")
+        return self._log(name).latest()[1]
 
-    def _put_state(self, name: str, changes: Mapping) -> None:
-        self.files.write(f"{self.root}/_state/{name}.json", json.dumps({**self._state(name), **changes}, sort_keys=True))
+    def _versions(self, layer: str, table: str) -> list:
+        """[version, folder] of the versions that stay, the published one first."""
+        return self._state("published").get(f"{layer}.{table}", [])
 
     def version(self, layer: str, table: str) -> int | None:
         if (layer, table) in BUCKETED:
             held = self.manifest()["tables"].get(f"{layer}.{table}")
             return None if held is None else max(held.values(), default=0)
-        return self._state("published").get(f"{layer}.{table}")
+        held = self._versions(layer, table)
+        return held[0][0] if held else None
 
     def progress(self, stage: str) -> int:
         """The last ingest batch a stage has finished; -1 before the first."""
         return self._state("progress").get(stage, -1)
 
     def advance(self, stage: str, batch: int) -> None:
-        self._put_state("progress", {stage: max(batch, self.progress(stage))})
+        self._log("progress").commit(lambda done: done | {stage: max(batch, done.get(stage, -1))})
 
     # ------------------------------------------------------------------ reads
 
@@ -172,7 +124,7 @@ class Lake:
         partitioned = (layer, table) in PARTITIONED
         if BUCKET in (PARTITIONED.get((layer, table)) or ()):
             return reader.load(self.path(layer, table)).drop(BUCKET)
-        return reader.load(self.path(layer, table, None if partitioned else self.version(layer, table)))
+        return reader.load(self.path(layer, table, None if partitioned else self._versions(layer, table)[0][1]))
 
     def read_or_none(self, layer: str, table: str) -> DataFrame | None:
         return self.read(layer, table) if self.exists(layer, table) else None
@@ -227,7 +179,14 @@ class Lake:
 
     def manifest(self) -> dict:
         """{buckets, generation, through, tables: {name: {bucket: generation}}, superseded: [folder]}."""
-        return {"buckets": self._buckets, "generation": 0, "through": None, "tables": {}, "superseded": []} | self._state("buckets")
+        return self._manifest(self._state("buckets"))
+
+    def _manifest(self, state: dict) -> dict:
+        return {"buckets": self._buckets, "generation": 0, "through": None, "tables": {}, "superseded": []} | state
+
+    def next_generation(self) -> int:
+        """A generation that no other writer stages."""
+        return self._log("generations").claim(self.manifest()["generation"] + 1)
 
     def _bucket_path(self, layer: str, table: str, generation: int, number: str | int) -> str:
         return f"{self.path(layer, table)}/g{generation:06d}/{BUCKET}={number}"
@@ -251,23 +210,36 @@ class Lake:
         rows.write.format(self.format).mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(BUCKET).save(path)
         return self.spark.read.format(self.format).schema(SCHEMAS[layer, table]).load(path).drop(BUCKET)
 
-    def publish_buckets(self, generation: int, touched: Mapping[tuple[str, str], Sequence[int] | None], through: int) -> None:
+    def publish_buckets(
+        self, generation: int, touched: Mapping[tuple[str, str], Sequence[int] | None], through: int, since: int | None = None
+    ) -> None:
         """Let the staged buckets of a generation count, all at once. touched: the buckets that were computed, None for
-        all; one that was computed and has no rows is gone. What was replaced is deleted by the next call, so that readers
-        of the state before can end."""
-        before = self.manifest()
-        for folder in before["superseded"]:
+        all; one that was computed and has no rows is gone. since: the generation that they were computed from; Conflict
+        if another one counts by now. What was replaced is deleted by the next call, so that readers of the state before
+        can end."""
+        written = {}
+        for layer, table in touched:
+            names = self.files.names(f"{self.path(layer, table)}/g{generation:06d}")
+            written[layer, table] = sorted(n.partition("=")[2] for n in names if n.startswith(f"{BUCKET}="))
+        passed = []
+
+        def change(state: dict) -> dict:
+            before = self._manifest(state)
+            if since is not None and before["generation"] != since:
+                raise Conflict(f"generation {before['generation']} was published while one was computed from {since}")
+            tables, superseded = dict(before["tables"]), []
+            for (layer, table), only in touched.items():
+                name = f"{layer}.{table}"
+                old = tables.get(name, {})
+                gone = old if only is None else {str(b): old[str(b)] for b in only if str(b) in old}
+                tables[name] = {b: g for b, g in old.items() if b not in gone} | {b: generation for b in written[layer, table]}
+                superseded += [self._bucket_path(layer, table, g, b) for b, g in gone.items()]
+            passed[:] = before["superseded"]
+            return {"buckets": before["buckets"], "generation": generation, "through": through, "tables": tables, "superseded": superseded}
+
+        self._log("buckets").commit(change)
+        for folder in passed:
             self.files.delete(folder)
-        tables, superseded = dict(before["tables"]), []
-        for (layer, table), only in touched.items():
-            name = f"{layer}.{table}"
-            old = tables.get(name, {})
-            gone = old if only is None else {str(b): old[str(b)] for b in only if str(b) in old}
-            written = {n.partition("=")[2] for n in self.files.names(f"{self.path(layer, table)}/g{generation:06d}") if n.startswith(f"{BUCKET}=")}
-            tables[name] = {b: g for b, g in old.items() if b not in gone} | {b: generation for b in sorted(written)}
-            superseded += [self._bucket_path(layer, table, g, b) for b, g in gone.items()]
-        state = {"buckets": before["buckets"], "generation": generation, "through": through, "tables": tables, "superseded": superseded}
-        self._put_state("buckets", state)
 
     # ------------------------------------------------------------------ tables
 
@@ -275,15 +247,51 @@ class Lake:
         """Replace a whole table; its schema may change."""
         return self.publish({(layer, table): df})[f"{layer}.{table}"]
 
-    def publish(self, tables: Mapping[tuple[str, str], DataFrame]) -> dict[str, int]:
-        """Write a new version of each table, then let all of them appear at once."""
-        fresh = {f"{layer}.{table}": (self.version(layer, table) or 0) + 1 for layer, table in tables}
+    def publish(self, tables: Mapping[tuple[str, str], DataFrame], since: Mapping[tuple[str, str], int | None] | None = None) -> dict[str, int]:
+        """Write a new version of each table, then let all of them appear by one commit.
+
+        since: the versions that the frames were computed from; Conflict, and nothing appears, if one of them is no longer
+        the published one."""
+        folder = f"v-{uuid.uuid4().hex}"  # no two writers share one
         for (layer, table), df in tables.items():
-            df.write.format(self.format).mode("overwrite").option("partitionOverwriteMode", "static").save(
-                self.path(layer, table, fresh[f"{layer}.{table}"])
-            )
-        self._put_state("published", fresh)
-        return fresh
+            df.write.format(self.format).mode("overwrite").option("partitionOverwriteMode", "static").save(self.path(layer, table, folder))
+        passed = []
+
+        def change(state: dict) -> dict:
+            for (layer, table), seen in (since or {}).items():
+                held = state.get(f"{layer}.{table}")
+                if (held[0][0] if held else None) != seen:
+                    raise Conflict(f"{layer}.{table} has a newer version than {seen}")
+            after = dict(state)
+            passed.clear()
+            for layer, table in tables:
+                held = state.get(f"{layer}.{table}", [])
+                row = [[held[0][0] + 1 if held else 1, folder], *held]
+                after[f"{layer}.{table}"] = row[:VERSIONS]
+                passed.extend(self.path(layer, table, old) for _, old in row[VERSIONS:])
+            return after
+
+        try:
+            after = self._log("published").commit(change)
+        except Conflict:
+            for layer, table in tables:
+                self.files.delete(self.path(layer, table, folder))
+            raise
+        for old in passed:
+            self.files.delete(old)
+        return {f"{layer}.{table}": after[f"{layer}.{table}"][0][0] for layer, table in tables}
+
+    def sweep(self, layer: str, table: str, hours: float = 24.0) -> list[str]:
+        """Delete folders of versions that writers left who died before their commit; returns their names.
+
+        hours: younger folders may belong to a writer at work."""
+        listed = self.files.listed(self.path(layer, table))
+        kept = {folder for _, folder in self._versions(layer, table)}  # read after the listing, which may hold one of them
+        limit = (time.time() - hours * 3600) * 1000
+        gone = [name for name, at in listed if name.startswith("v-") and name not in kept and at <= limit]
+        for name in gone:
+            self.files.delete(self.path(layer, table, name))
+        return gone
 
     def merge_insert(self, df: DataFrame, layer: str, table: str, key: str, batch: int, keys_in: DataFrame | None = None) -> None:
         """Insert rows whose key is new, as one batch; rows that batch already holds are kept.
@@ -311,10 +319,16 @@ class Lake:
         self.files.delete(stage)
 
     def replace_by_key(self, df: DataFrame, layer: str, table: str, keys: Sequence[str]) -> int:
-        """A versioned table with the rows of df's keys replaced."""
-        old = self.read_or_none(layer, table)
-        merged = df if old is None else replace_keys(old, df, keys)
-        return self.overwrite(merged, layer, table)
+        """A versioned table with the rows of df's keys replaced, in the version that counts when it is committed."""
+        for _ in range(TRIES):
+            seen = self.version(layer, table)
+            old = self.read_or_none(layer, table)
+            merged = df if old is None else replace_keys(old, df, keys)
+            try:
+                return self.publish({(layer, table): merged}, since={(layer, table): seen})[f"{layer}.{table}"]
+            except Conflict:  # another writer's rows are merged now
+                continue
+        raise Conflict(f"{layer}.{table} changes faster than it can be replaced")
 
     def insert_absent(self, df: DataFrame, layer: str, table: str, keys: Sequence[str]) -> None:
         """Append rows whose keys the table does not hold: the first row of a key stays.
