@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.money import MONEY
 from ..functions.times import weekday
+from .gold_state import SQUARES, STREAMS, SUM, flow_moments
 from .skew import union_all
 
 MODEL_NAME = "cash_forecast"
@@ -35,6 +36,48 @@ def fit_profile(history: DataFrame) -> DataFrame:
     )
 
 
+def fit_from_moments(moments: DataFrame, daily: DataFrame, until: Column) -> DataFrame:
+    """fit_profile of the days before `until` without the days: whole months come from their moments, only the month of
+    `until` from the daily flows.
+
+    Days without a flow count as zeros from a company's first flow on, so their number follows from the calendar. Sums are
+    exact for totals below 10^17 and sums of squares below 10^34 / days. Flows without a company are one of their own."""
+    month = F.trunc(until, "MM")
+    recent = flow_moments(daily.where((F.col("flow_date") >= month) & (F.col("flow_date") < until)))
+    both = moments.where(F.col("month") < month).unionByName(recent)
+    sums = [F.sum(f"{c}_{kind}").cast(t).alias(f"{c}_{kind}") for c in STREAMS for kind, t in (("sum", SUM), ("squares", SQUARES))]
+    held = both.groupBy("company_id", "weekday").agg(F.min("first_day").alias("_first"), *sums)
+    row = F.struct(*[f"{c}_{kind}" for c in STREAMS for kind in ("sum", "squares")])
+    by_company = held.groupBy("company_id").agg(
+        F.min("_first").alias("_start"), F.map_from_entries(F.collect_list(F.struct("weekday", row))).alias("_sums")
+    )  # seven entries at most
+    each = by_company.select("company_id", "_start", "_sums", F.explode(F.sequence(F.lit(0), F.lit(6))).alias("weekday"))
+    later = F.pmod(F.col("weekday") - weekday(F.col("_start")), F.lit(7))  # days from the start to the first such weekday
+    counted = each.withColumn("days", F.floor((F.datediff(until, F.col("_start")) - later + 6) / F.lit(7)).cast("long")).where("days > 0")
+    n = F.col("days")
+
+    def total(c: str, kind: str, t: str) -> Column:
+        return F.coalesce(F.try_element_at("_sums", F.col("weekday"))[f"{c}_{kind}"], F.lit(0)).cast(t)
+
+    def mean(c: str) -> Column:
+        return (total(c, "sum", SUM) / n).cast(FINE)
+
+    def spread(c: str) -> Column:
+        s = total(c, "sum", "decimal(19,2)")
+        above = (n.cast("decimal(10,0)") * total(c, "squares", SQUARES) - s * s).cast("double")
+        return F.when(n > 1, F.sqrt(above / (n * (n - 1)))).otherwise(0.0)
+
+    return counted.select(
+        "company_id",
+        "weekday",
+        mean("other_net").alias("other_mean"),
+        spread("other_net").alias("other_sd"),
+        mean("supplier_net").alias("supplier_mean"),
+        spread("supplier_net").alias("supplier_sd"),
+        "days",
+    )
+
+
 def predict(profile: DataFrame, days: DataFrame) -> DataFrame:
     """Attach the learned flow to (company, weekday) rows; an unknown pair gets zeros."""
     learned = profile.select("company_id", "weekday", "other_mean", "other_sd", "supplier_mean", "supplier_sd")

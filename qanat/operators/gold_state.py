@@ -1,14 +1,16 @@
 """What gold keeps between batches, and how a batch's new silver rows are merged into it.
 
-Four state tables, each in fixed buckets by a hash of its company (of its account for balances), so that a batch reads and
+Five state tables, each in fixed buckets by a hash of its company (of its account for balances), so that a batch reads and
 writes the buckets that it touches and no history beside them:
 
 - balances   the latest balance of every account
 - day_sums   per company, account and value date the sums of postings by flow bucket, and their number
 - payments   one row per executed payment: the event with the smallest id
 - debits     the first debit posting of every payment
+- flow_moments  sums and sums of squares of the daily flows by company, month and weekday, for training
 
-Balances, payments and debits merge by taking the better of two rows. Day sums are additive: a posting that several events
+Balances, payments and debits merge by taking the better of two rows; moments of touched buckets are summed anew from
+their daily flows. Day sums are additive: a posting that several events
 carry counts once, by its smallest event, so the new rows' postings are looked up among the older ones and a posting that
 was counted by a later event is taken out again.
 """
@@ -19,10 +21,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.money import MONEY
+from ..functions.times import weekday
 from .dedupe import earliest_per_key
 from .gold import BUCKETS, bucket_code
 
 SUM = "decimal(28,2)"
+SQUARES = "decimal(38,4)"
+STREAMS = ("other_net", "supplier_net")  # the flows that the forecast learns
 NETS = tuple(f"{b}_net" for b in BUCKETS)
 PAYMENT_COLUMNS = (
     "event_id", "payment_id", "company_id", "from_account_id", "to_account_id", "beneficiary_id", "beneficiary_name",
@@ -34,8 +39,10 @@ SCHEMAS = {
     "payments": "event_id long, payment_id long, company_id int, from_account_id int, to_account_id int, beneficiary_id int, "
     "beneficiary_name string, amount decimal(18,2), value_date date, executed_at timestamp_ntz",
     "debits": "payment_id long, company_id int, transaction_id long",
+    "flow_moments": "company_id int, month date, weekday int, first_day date, "
+    + ", ".join(f"{c}_sum {SUM}, {c}_squares {SQUARES}" for c in STREAMS),
 }
-KEYS = {"balances": "account_id", "day_sums": "company_id", "payments": "company_id", "debits": "company_id"}
+KEYS = {"balances": "account_id", "day_sums": "company_id", "payments": "company_id", "debits": "company_id", "flow_moments": "company_id"}
 
 
 def bucket(key: str, buckets: int) -> Column:
@@ -100,3 +107,15 @@ def flows(sums: DataFrame, accounts: DataFrame, run_id: Column, at: Column) -> D
         .withColumn("run_id", run_id)
         .withColumn("computed_at", at)
     )
+
+
+def flow_moments(daily: DataFrame) -> DataFrame:
+    """Exact sums of the learned flows and of their squares per company, month and weekday, and the first day with a flow."""
+    sums = [
+        total
+        for c in STREAMS
+        for total in (F.sum(c).cast(SUM).alias(f"{c}_sum"), F.sum(F.col(c) * F.col(c)).cast(SQUARES).alias(f"{c}_squares"))
+    ]
+    dated = daily.where(F.col("flow_date").isNotNull())
+    by = ("company_id", F.trunc("flow_date", "MM").alias("month"), weekday(F.col("flow_date")).alias("weekday"))
+    return dated.groupBy(*by).agg(F.min("flow_date").alias("first_day"), *sums)

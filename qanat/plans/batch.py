@@ -111,9 +111,9 @@ def _run_gold(job: Job, ctx: RunContext, force: bool) -> bool:
     fresh = not ids.isEmpty()
     state_before = lake.manifest()
     through = state_before["through"]
+    built = {"transactions": (("gold", "daily_flows"), ("state", "flow_moments")), "payments": (("gold", "payment_features"),)}
     missing = through is None or not lake.exists("gold", "cash_position_daily") or any(
-        lake.exists("silver", source) and not lake.exists("gold", table)
-        for source, table in (("transactions", "daily_flows"), ("payments", "payment_features"))
+        lake.exists("silver", source) and not lake.exists(*table) for source, tables in built.items() for table in tables
     )
     if not (fresh or missing or force):
         lake.advance("gold", target)
@@ -149,7 +149,7 @@ def _merge_gold(job: Job, ctx: RunContext, through: int | None, target: int, sin
 
     by_company = touched("state", "payments", companies)
     by_account = touched("state", "balances", new_tx)
-    only = {"balances": by_account, "day_sums": by_company, "payments": by_company, "debits": by_company}
+    only = {"balances": by_account, "day_sums": by_company, "payments": by_company, "debits": by_company, "flow_moments": by_company}
 
     def old(table: str) -> DataFrame:
         return lake.read_buckets("state", table, [] if through is None else only[table])
@@ -176,7 +176,10 @@ def _merge_gold(job: Job, ctx: RunContext, through: int | None, target: int, sin
     if lake.exists("silver", "transactions"):
         gold["daily_flows"] = with_others("daily_flows", state.flows(mine["day_sums"], accounts, ctx.run_col, ctx.now_col))
     for table, df in gold.items():
-        lake.stage(df, "gold", table, generation)
+        staged = lake.stage(df, "gold", table, generation)
+        if table == "daily_flows":
+            merged["flow_moments"] = state.flow_moments(staged)
+            lake.stage(merged["flow_moments"], "state", "flow_moments", generation)
     _put_positions(job, ctx, accounts, now["balances"], by_account)
     published = {("state", t): only[t] for t in merged} | {("gold", t): by_company for t in gold}
     try:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.times import date_lit
-from ..operators import forecast, history
+from ..operators import forecast, gold_state, history
 from ..operators.serving import account_totals
 from .queries_gold import AS_OF, CTX, cash, flows
 from .registry import query
@@ -157,6 +157,19 @@ def weekday_profile(L: Ledger) -> DataFrame:
     return _rounded(profile(L), "other_sd", "supplier_sd")
 
 
+FEBRUARY = "DATE '2024-02-01'"
+VIEWS["history_of_months"] = VIEWS["history"].replace("TIMESTAMP '2024-01-30 00:00:00'", "TIMESTAMP '2024-01-31 00:00:00'").replace(AS_OF, FEBRUARY)
+
+
+@query(f"""SELECT * EXCLUDE (other_sd, supplier_sd), round(other_sd, 4) AS other_sd, round(supplier_sd, 4) AS supplier_sd
+FROM ({PROFILE.format(source="history_of_months")})""")
+def weekday_profile_of_months(L: Ledger) -> DataFrame:
+    """The profile at the begin of a month, from the moments of whole months alone."""
+    daily = flows(L)
+    fitted = forecast.fit_from_moments(gold_state.flow_moments(daily), daily, date_lit("2024-02-01"))
+    return _rounded(fitted, "other_sd", "supplier_sd")
+
+
 @query(f"""SELECT company_id, CAST({AS_OF} + CAST(range AS INTEGER) AS DATE) AS day,
   CAST(isodow({AS_OF} + CAST(range AS INTEGER)) - 1 AS INTEGER) AS weekday FROM companies CROSS JOIN range(30)""")
 def forecast_days(L: Ledger) -> DataFrame:

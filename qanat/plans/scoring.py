@@ -38,7 +38,10 @@ def train(lake: Lake, settings: Settings, ctx: RunContext) -> dict:
     if history.isEmpty() or frame.isEmpty():
         return {**SKIPPED, "reason": "no history"}
 
-    profile_version = models.register(lake, forecast.MODEL_NAME, {"profile": forecast.fit_profile(history)})
+    flows, moments = lake.read("gold", "daily_flows"), lake.read("state", "flow_moments")
+    profile = forecast.fit_from_moments(moments, flows, ctx.as_of)
+    horizon = {"horizon_days": forecast.HORIZON_DAYS, "band": forecast.BAND, "holdout_days": forecast.HOLDOUT_DAYS}
+    profile_version = models.register(lake, forecast.MODEL_NAME, {"profile": profile}, horizon)
     grid = forest.GRID
     stats = anomaly.hour_median(frame)
     parts = {
@@ -51,7 +54,8 @@ def train(lake: Lake, settings: Settings, ctx: RunContext) -> dict:
             F.lit(settings.n_trees).alias("n_trees"),
         ),
     }
-    forest_version = models.register(lake, anomaly.MODEL_NAME, parts)
+    chosen = {"seed": settings.ml_seed, "n_trees": settings.n_trees, "grid": grid, "threshold": anomaly.THRESHOLD}
+    forest_version = models.register(lake, anomaly.MODEL_NAME, parts, chosen)
 
     metrics = {
         forecast.MODEL_NAME: (profile_version, forecast.backtest(history)),

@@ -15,8 +15,10 @@ def registered_name(name: str) -> str:
     return f"{LAYER}.{name}"
 
 
-def register(lake: Lake, name: str, parts: Mapping[str, DataFrame]) -> str:
-    """Write every part of a model as one new version and point the champion alias at it."""
+def register(lake: Lake, name: str, parts: Mapping[str, DataFrame], parameters: Mapping[str, object] | None = None) -> str:
+    """Write every part of a model, and what it was trained with, as one new version and point the champion alias at it."""
+    rows = sorted((key, str(value)) for key, value in (parameters or {}).items())
+    parts = {**parts, "parameters": lake.spark.createDataFrame(rows, "name string, value string")}
     versions = lake.publish({(LAYER, f"{name}.{part}"): df for part, df in parts.items()})
     return str(max(versions.values()))
 

@@ -138,6 +138,8 @@ def test_backfill_train_and_score(spark, tmp_path):
 
     assert scoring.score(j.lake, j.ledger, j.settings, ctx, moved=False)["status"] == "unchanged"
     models = {r["model_name"]: r for r in j.lake.read("serving", "models").collect()}
+    chosen = {r["name"]: r["value"] for r in j.lake.read("ml", "payment_anomaly.parameters").collect()}
+    assert chosen == {"seed": str(j.settings.ml_seed), "n_trees": "100", "grid": "0.05", "threshold": "0.65"}
     assert set(models) == {"cash_forecast", "payment_anomaly"} and '"holdout_mae"' in models["cash_forecast"]["metrics"]
 
     # 450,000 more non-Reserve cash moves the whole path with it, without retraining.
