@@ -121,11 +121,12 @@ def spread_join(rows: DataFrame, lookup: DataFrame, on: Sequence[str], spread_by
     """Join rows whose key may be hot to a table with one row per key, without copies of that table.
 
     Rows with a NULL key match nothing; a number drawn from spread_by deals them over all tasks instead of one. The
-    adaptive skew join splits keys that hold too many rows.
+    adaptive skew join splits keys that hold too many rows. The hint keeps the table off the driver: what explodes or
+    decompresses is far larger than Spark's estimate, by which it would be broadcast.
     """
     unmatched = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in on])
     salt = F.when(unmatched, F.pmod(F.xxhash64(spread_by), F.lit(1 << 20)).cast("int")).otherwise(F.lit(0)).alias("_salt")
-    return rows.select("*", salt).join(lookup.withColumn("_salt", F.lit(0)), [*on, "_salt"], how).drop("_salt")
+    return rows.select("*", salt).join(lookup.withColumn("_salt", F.lit(0)).hint("merge"), [*on, "_salt"], how).drop("_salt")
 
 
 def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
