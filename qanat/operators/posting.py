@@ -107,7 +107,8 @@ def decided_events(payments: DataFrame, transactions: DataFrame, event_id: Colum
     done = payments.where(F.col("status") == "EXECUTED").join(legs, "payment_id", "left")
     refused = payments.where(F.col("status") == "REJECTED")
     ids = {"transaction_ids": F.coalesce("_ids", F.array().cast("array<bigint>"))}
-    posted = transactions.join(done.select("payment_id"), "payment_id", "left_semi")
+    # as many rows as payments: never a table of the driver's, however small Spark's estimate
+    posted = transactions.join(done.select("payment_id").hint("merge"), "payment_id", "left_semi")
     return union_all(
         [
             _envelope(done, event_id, "payment", "payment_id", F.lit("payment.executed"),

@@ -4,7 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from qanat.operators.posting import decided_events
 from qanat.operators.skew import spread_join
+from tests.ledgers import PAYMENT, POSTING
 
 SF = "/root/testdata/sf0.001"
 
@@ -23,6 +25,18 @@ def test_a_look_up_that_explodes_is_not_broadcast(spark):
     assert found == {(1, "p1"), (2, None), (3, None), (4, "p1")}
 
 
+def test_executed_payments_are_not_broadcast(spark):
+    def rows(schema: str, key: str):
+        columns = {c.split()[0]: F.lit(None).cast(c.split()[1]) for c in schema.split(", ")}
+        return spark.range(3).select(*[v.alias(n) for n, v in (columns | {key: F.col("id"), "status": F.lit("EXECUTED")}).items()])
+
+    payments, postings = rows("beneficiary_name string, " + PAYMENT, "payment_id"), rows(POSTING, "transaction_id")
+    postings = postings.withColumn("payment_id", F.col("transaction_id"))
+    events = decided_events(payments, postings, F.col("payment_id"), F.col("transaction_id"))
+    semi = [line for line in plan(events).splitlines() if "LeftSemi" in line]
+    assert semi and not [line for line in semi if "Broadcast" in line]
+
+
 @pytest.mark.parametrize("name", ["backfill_payments", "posting_legs", "payments_view"])
 def test_look_ups_of_queries_are_not_broadcast(spark, name):
     look_ups = [line for line in plan(entry.queries()[name](spark, SF)).splitlines() if "BroadcastHashJoin" in line and "_salt" in line]
