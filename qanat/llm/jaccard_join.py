@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, cut, discard, slices, small_batches, whole_groups
+from .common import components, cut, discard, release, slices, small_batches, whole_groups
 from .shingles import mix, sets
 
 GROUPS = 128
@@ -40,6 +40,7 @@ FINE = 4
 BEST_ROUNDS = 2
 FLUSH = 500_000  # pairs whose repeats a task drops at once
 PAIRS = 25_000  # that numpy looks at in one step
+SLICE = 1_000_000  # bytes of texts whose sets a task holds at once
 
 
 def digest(s: np.ndarray) -> int:
@@ -211,7 +212,7 @@ def _described(docs: DataFrame, text: str, words: int) -> DataFrame:
 
     def run(batches):
         counts = np.zeros(1 << SKETCH_BITS, np.int64)
-        for batch in slices(batches, text):
+        for batch in slices(batches, text, SLICE):
             found = sets(batch.column(text), words)
             for s in found:
                 np.add.at(counts, bucket(s), 1)
@@ -251,7 +252,7 @@ def _cells(docs: DataFrame, text: str, words: int, rank: np.ndarray, percent: in
 
     def run(batches):
         seen: set[int] = set()  # copies inside a task go once
-        for batch in slices(batches, text):
+        for batch in slices(batches, text, SLICE):
             tokens, of = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
             for s in sets(batch.column(text), words):
                 if len(s) and (d := digest(s)) not in seen:
@@ -308,6 +309,7 @@ def _candidates(cells: DataFrame, classes: DataFrame, percent: int, forest_only:
                 size = 0
         if kept:
             yield flushed()
+        release()
 
     return rows.mapInArrow(run, "a long, b long, score double").groupBy("a", "b").agg(F.max("score").alias("score"))
 
@@ -326,7 +328,7 @@ def _sets(docs: DataFrame, text: str, words: int, pairs: DataFrame) -> DataFrame
 
     def whole(batches):
         seen: set[int] = set()
-        for batch in slices(batches, text):
+        for batch in slices(batches, text, SLICE):
             found = [(digest(s), s) for s in sets(batch.column(text), words) if len(s)]
             found = [(d, s.tobytes()) for d, s in found if needed[(d % (1 << 64)) >> (64 - SKETCH_BITS)] and not (d in seen or seen.add(d))]
             if found:
@@ -354,6 +356,7 @@ def _refined(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
             total = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
             ok = reaches(bound, total, percent)
             yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok]), pa.array(bound[ok] / (total[ok] - bound[ok]))], ["a", "b", "score"])
+        release()
 
     sides = pairs.select("a", "b").join(of("b"), "b").join(of("a"), "a")
     return cut(sides.mapInArrow(run, "a long, b long, score double"))
@@ -373,6 +376,7 @@ def _verified(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
                 o = len(np.intersect1d(s, t, assume_unique=True))
                 kept.append(100 * o >= percent * (len(s) + len(t) - o))
             yield batch.select(["pa", "pb"]).filter(pa.array(kept, pa.bool_()))
+        release()
 
     return sides.mapInArrow(run, "pa long, pb long")
 

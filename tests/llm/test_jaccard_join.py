@@ -1,5 +1,6 @@
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -129,3 +130,26 @@ def test_query(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     found = queries.op7_jaccard_join(spark, "/root/testdata/sf0.001").collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute(rows, 4, 85)
+
+
+def test_a_task_holds_the_sets_of_few_texts_at_once(monkeypatch):
+    class Captured:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            return run
+
+    monkeypatch.setattr(jaccard_join, "cut", lambda x: x)
+    run = jaccard_join._described(Captured(), "text", 5)
+    rng = random.Random(2)
+    texts = [" ".join(rng.choices("abcdefghij", k=5_000)) for _ in range(400)]  # 4 MB
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["key", "text"])
+    shingles.words(batch.column("text")[:1])  # its tables
+    tracemalloc.start()
+    try:
+        n = [x for b in run([batch]) for x in b.column("n").to_pylist() if x is not None]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert n == [len(shingle_set(t, 5)) for t in texts] and peak < 60_000_000
