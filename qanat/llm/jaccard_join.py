@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, cut, discard, release, slices, small_batches, whole_groups
-from .shingles import mix, sets
+from .shingles import forget, mix, sets
 
 GROUPS = 128
 SKETCH_BITS, SEGMENTS = 20, 64
@@ -220,6 +220,7 @@ def _described(docs: DataFrame, text: str, words: int) -> DataFrame:
                 batch.column("key"), pa.array([len(s) for s in found], pa.int64()), pa.array([digest(s) if len(s) else None for s in found], pa.int64()),
                 pa.array([point(s) if len(s) else None for s in found], pa.binary()), pa.nulls(len(found), pa.int32()), pa.nulls(len(found), pa.binary()),
             ], ["key", "n", "d", "point", "segment", "counts"])
+        forget()
         if counts.any():
             parts = [zlib.compress(p.astype(np.uint32).tobytes(), 1) for p in np.split(counts, SEGMENTS)]
             none = [pa.nulls(SEGMENTS, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.binary())]
@@ -260,6 +261,7 @@ def _cells(docs: DataFrame, text: str, words: int, rank: np.ndarray, percent: in
                     tokens.append(prefix(s, rank, percent))
                     of.append(np.full(len(tokens[-1]), d, np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).astype(np.int64)), pa.array(np.concatenate(of))], ["token", "d"])
+        forget()
 
     rows = docs.select(text).mapInArrow(run, "token long, d long").repartition("token").dropDuplicates(["token", "d"])
     cell = Window.partitionBy("token")
@@ -335,6 +337,7 @@ def _sets(docs: DataFrame, text: str, words: int, pairs: DataFrame) -> DataFrame
                 ids, raws = zip(*found, strict=True)
                 fine = [fine_point(np.frombuffer(r, np.uint64)) for r in raws]
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(r) // 8 for r in raws], pa.int64()), pa.array(fine, pa.binary()), pa.array(raws, pa.binary())], ["d", "n", "fine", "items"])
+        forget()
 
     own = docs.select(text).mapInArrow(whole, "d long, n long, fine binary, items binary")
     own = own.groupBy("d").agg(*[F.first(c).alias(c) for c in ("n", "fine", "items")])
