@@ -283,7 +283,8 @@ def liquidity_chart(trend: DataFrame, forecast: DataFrame, past: int = 30, ahead
 
 
 def user_profiles(users: DataFrame, companies: DataFrame) -> DataFrame:
-    named = companies.select("company_id", F.col("name").alias("company_name"))
+    """Users with their company's name. Companies grow with the ledger: the hint keeps them off the driver."""
+    named = companies.select("company_id", F.col("name").alias("company_name")).hint("merge")
     return users.join(named, "company_id").select(
         "user_id", "username", "display_name", "title", "role", "email", "company_id", "company_name"
     )

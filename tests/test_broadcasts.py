@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from qanat.operators.posting import decided_events
+from qanat.operators.readmodels import user_profiles
 from qanat.operators.skew import spread_join
 from tests.ledgers import PAYMENT, POSTING
 
@@ -41,3 +42,16 @@ def test_executed_payments_are_not_broadcast(spark):
 def test_look_ups_of_queries_are_not_broadcast(spark, name):
     look_ups = [line for line in plan(entry.queries()[name](spark, SF)).splitlines() if "BroadcastHashJoin" in line and "_salt" in line]
     assert not look_ups
+
+
+def test_companies_are_not_broadcast_to_their_users(spark):
+    """Neither side is, whatever their sizes; users without a company are left out, repeated rows are joined each."""
+    companies = spark.createDataFrame([(1, "A"), (2, "B"), (2, "C"), (None, "D")], "company_id int, name string")
+    rows = [(n, f"u{n}", f"User {n}", "CFO", "approver", f"u{n}@x", c) for n, c in ((1, 1), (2, 2), (2, 2), (3, None), (4, 9))]
+    users = spark.createDataFrame(rows, "user_id int, username string, display_name string, title string, role string, email string, company_id int")
+    joined = user_profiles(users, companies)
+    found = sorted((r["user_id"], r["company_name"]) for r in joined.collect())
+    assert found == [(1, "A"), (2, "B"), (2, "B"), (2, "C"), (2, "C")]
+    assert "Broadcast" not in plan(joined)
+    joins = [line for line in plan(entry.queries()["user_profiles"](spark, SF)).splitlines() if "Join" in line and "company_id" in line]
+    assert joins and not [line for line in joins if "Broadcast" in line]
